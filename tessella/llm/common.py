@@ -64,14 +64,9 @@ def _release_at_exit() -> None:
             _written.clear()
 
 
-def is_small(df: DataFrame, row_limit: int) -> bool:
-    """True if df has at most row_limit rows; reads no more than that many."""
-    return df.limit(row_limit + 1).count() <= row_limit
-
-
-def maybe_broadcast(df: DataFrame, rows: int, row_limit: int) -> DataFrame:
-    """Broadcast hint behind a check of the size; beyond it Spark's shuffled joins do the work."""
-    return F.broadcast(df) if rows <= row_limit else df
+def broadcast_if_small(df: DataFrame, row_limit: int) -> DataFrame:
+    """Broadcast hint if df has at most row_limit rows (it reads no more to know); else Spark's shuffled joins do the work."""
+    return F.broadcast(df) if df.limit(row_limit + 1).count() <= row_limit else df
 
 
 # ---- word hashing over UTF-8 bytes ------------------------------------------------------------

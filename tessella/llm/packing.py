@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, pick, written
+from .common import broadcast_if_small, pick, written
 
 SIZE = 1024
-PLAN_ROWS, COUNT_ROWS = 2_000_000, 2_000_000
+COUNT_ROWS = 2_000_000
 #: Fixed value: the pattern by which byte-level BPE splits a text if its file says no other.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -200,12 +200,11 @@ def pack(docs: DataFrame, size: int = SIZE, end_id: int = 0, tokenizer: str | No
     before = F.sum("n").over(Window.partitionBy("length").orderBy("run")) - F.col("n")  # a row for each run
     firsts = counts.select("length", "run", before.alias("before"))
     ranked = pieces.withColumn("ids_crc32", F.crc32("ids"))
-    ranked = ranked.join(maybe_broadcast(firsts, counts.count(), COUNT_ROWS), ["length", "run"]).withColumn("piece", F.col("before") + F.col("within"))
+    ranked = ranked.join(broadcast_if_small(firsts, COUNT_ROWS), ["length", "run"]).withColumn("piece", F.col("before") + F.col("within"))
     # The plan has some runs for each length: arrays by length, searched by the piece's number.
     by_length: dict[int, list] = {}
     for n, *rest in sorted(runs):
         by_length.setdefault(n, []).append(tuple(rest))
-    assert len(runs) <= PLAN_ROWS
     table = spark.createDataFrame(
         [(n, [r[0] for r in rs], [dict(zip(("piece", "window", "each", "offset"), r, strict=True)) for r in rs]) for n, rs in by_length.items()],
         "length int, begins array<long>, runs array<struct<piece:long,window:long,each:long,offset:long>>",

@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import chat_format, decontaminate, exact_dedup, packing, sharding
+from . import chat_format, decontaminate, exact_dedup, near_dedup, packing, sharding, suffix_dedup
 
-_MODULES = (exact_dedup, chat_format, decontaminate, sharding, packing)
+_MODULES = (suffix_dedup, exact_dedup, near_dedup, chat_format, decontaminate, sharding, packing)
 
 
 def queries() -> dict:

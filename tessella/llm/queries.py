@@ -1,8 +1,8 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import chat_format, decontaminate, exact_dedup, lm_score, near_dedup, packing, sharding, suffix_dedup
+from . import chat_format, decontaminate, exact_dedup, language_id, lm_score, near_dedup, packing, sharding, suffix_dedup, toxicity
 
-_MODULES = (suffix_dedup, exact_dedup, near_dedup, lm_score, chat_format, decontaminate, sharding, packing)
+_MODULES = (suffix_dedup, exact_dedup, near_dedup, lm_score, chat_format, decontaminate, sharding, toxicity, language_id, packing)
 
 
 def queries() -> dict:

@@ -10,10 +10,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 21
+ROW_OVERHEAD = 64
 _written: list[str] = []
 
 
@@ -69,6 +70,12 @@ def broadcast_if_small(df: DataFrame, row_limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(row_limit + 1).count() <= row_limit else df
 
 
+def broadcast_if_light(df: DataFrame, row_bytes: Column, limit: int) -> DataFrame:
+    """Broadcast hint if the rows, at row_bytes each beside ROW_OVERHEAD, are at most limit bytes; else shuffled joins."""
+    total = df.agg(F.sum(row_bytes.cast("long") + ROW_OVERHEAD)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
+
+
 # ---- word hashing over UTF-8 bytes ------------------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15

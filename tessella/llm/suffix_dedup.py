@@ -7,13 +7,14 @@ SEED-byte seeds lies (the first such place). Equal windows have equal seeds at t
    in one aggregation;
 2. runs whose seed and content repeat are removed whole;
 3. one representative of each of the other runs that share a seed with a different run sends its windows: suffixes,
-   each a key of PREFIX leading bytes and a hash of the window. Partitions sort them into runs, drop repeats, cut the
-   runs by key ranges and exchange them front-coded (bytes shared with the key before are not sent). Each range is
+   each a key of PREFIX leading bytes and a hash of the window. Partitions sort them into runs, one for each hash of
+   the seed and its place in the window, which equal windows share, and exchange them front-coded (bytes shared with
+   the key before are not sent). A seed of very many runs is spread further, by the leading bytes. Each part is
    combined by a tournament of losers that keeps, for every contender, how many words it shares with the last
    winner; words known to be shared are never compared again, and windows found twice are reported to their runs;
 4. spans go to their documents, are merged, and the bytes are cut.
 
-The tournament runs in lockstep over many slices of a range, one NumPy operation for all slices.
+The tournament runs in lockstep over many slices of a part, one NumPy operation for all slices.
 
 Windows are told apart by 64-bit hashes within equal leading bytes, runs by two 64-bit hashes.
 
@@ -28,21 +29,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, broadcast_if_small, mix, pick, powers, prefix_hash, text_blocks, written
+from .common import BYTE_CODE, broadcast_if_light, broadcast_if_small, mix, pick, powers, prefix_hash, text_blocks, written
 
 SIZE, SEED, PREFIX = 200, 64, 8
-SEED_ROWS, DOC_ROWS = 4_000_000, 2_000_000
+SEED_ROWS, BROADCAST_BYTES = 1_500_000, 48 << 20
+#: Classes of a seed from which on it is spread over more parts, and windows of a seed that go to one part.
+SPREAD_CLASSES, PLACES = 20_000, 16
 LANES = 4096
 RUN_WINDOWS = 2_000_000
 _POS = np.uint64((1 << 24) - 1)
 
 
 def anchored_runs(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, size: int = SIZE, seed: int = SEED):
-    """(document, first window, windows, seed hash, content hash) of the runs of windows that share an anchor."""
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    """(document, first window, windows, anchor's distance from the first window, seed hash, content hash) of the runs of windows that share an anchor."""
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     n, width = len(buf), size - seed + 1
     if n < size or not (lens >= size).any():
         return none
@@ -81,20 +85,20 @@ def anchored_runs(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, size: i
     count = np.minimum(np.append(first[1:], windows), (starts + lens - size + 1)[doc]) - first
     a = anchor[first]
     content = mix((p[first + count - 1 + size] - p[first]) * down[first] + mix((count + ((a - first) << 32)).astype(np.uint64)))
-    return doc, first - starts[doc], count, h[a], content
+    return doc, first - starts[doc], count, a - first, h[a], content
 
 
-_RUNS = "doc_id {}, text_key long, seed long, content long, first long, windows int"
+_RUNS = "doc_id {}, text_key long, seed long, content long, first long, windows int, anchor int"
 
 
 def _scan(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, buf, starts, lens in text_blocks(batch.column("text"), 1 << 20):
-            doc, first, count, g, c = anchored_runs(buf, starts, lens, size, seed)
+            doc, first, count, anchor, g, c = anchored_runs(buf, starts, lens, size, seed)
             at = pa.array(row + doc)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(first), pa.array(count.astype(np.int32))],
-                ["doc_id", "text_key", "seed", "content", "first", "windows"],
+                [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(first), pa.array(count.astype(np.int32)), pa.array(anchor.astype(np.int32))],
+                ["doc_id", "text_key", "seed", "content", "first", "windows", "anchor"],
             )
 
 
@@ -140,15 +144,16 @@ def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]], lanes: int = LANES) ->
     base = np.append(0, np.cumsum([len(w) for w, _ in runs]))
     words = np.concatenate([w for w, _ in runs] + [np.full((1, width), ~np.uint64(0))])
     share = np.concatenate([s.astype(np.int64) for _, s in runs] + [np.zeros(1, np.int64)])
-    # Slices: splitters from the largest run, whole groups of equal first words.
-    largest = max(runs, key=lambda r: len(r[0]))[0][:, 0]
+    # Slices: splitters from all runs together, at whole keys.
+    as_bytes = [np.ascontiguousarray(w.astype(">u8")).view(f"S{8 * width}").ravel() for w, _ in runs]
     lanes = max(1, min(lanes, total // 64))
-    cuts = np.unique(largest[np.linspace(0, len(largest) - 1, lanes + 1).astype(np.int64)[1:-1]]) if lanes > 1 else np.zeros(0, np.uint64)
+    seen = np.sort(np.concatenate([b[:: max(1, total // (16 * lanes))] for b in as_bytes]))
+    cuts = np.unique(seen[np.linspace(0, len(seen) - 1, lanes + 1).astype(np.int64)[1:-1]])
     lanes = len(cuts) + 1
     at = np.zeros((size, lanes), np.int64)
     end = np.zeros((size, lanes), np.int64)
     for r, (w, _) in enumerate(runs):
-        mark = np.concatenate([[0], np.searchsorted(w[:, 0], cuts, "left"), [len(w)]]) + base[r]
+        mark = np.concatenate([[0], np.searchsorted(as_bytes[r], cuts, "left"), [len(w)]]) + base[r]
         at[r], end[r] = mark[:-1], mark[1:]
     sentinel, lane = total, np.arange(lanes)
     front = np.where(at < end, at, sentinel)
@@ -226,14 +231,18 @@ def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]], lanes: int = LANES) ->
 _SUFFIXES = "part int, shared binary, tails binary, owners binary"
 
 
-def _suffix_runs(batches: Iterator[pa.RecordBatch], size: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Front-coded sorted runs of the asked windows, cut by ranges of leading bytes' hash; owners: run number, window."""
+def _asked(first, windows, anchor, spread) -> Column:
+    """What is asked of a document, in one number: 32 bits, 12, 12 and 7."""
+    return first.bitwiseOR(F.shiftleft(windows.cast("long"), 32)).bitwiseOR(F.shiftleft(anchor.cast("long"), 44)).bitwiseOR(F.shiftleft(spread.cast("long"), 56))
+
+
+def _suffix_runs(batches: Iterator[pa.RecordBatch], size: int, seed: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Front-coded sorted runs of the asked windows by part; owners: run number (negative: no answer is needed), window."""
     held: list[tuple] = []
     n = 0
 
     def flush():
-        pre, fp, owner, win = (np.concatenate(x) for x in zip(*held, strict=True))
-        part = (mix(pre) % np.uint64(parts)).astype(np.int64)
+        pre, fp, part, owner, win = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((fp, pre, part))
         pre, fp, part, owner, win = pre[order], fp[order], part[order], owner[order], win[order]
         keys = np.stack([pre, fp], axis=1)
@@ -243,26 +252,27 @@ def _suffix_runs(batches: Iterator[pa.RecordBatch], size: int, parts: int) -> It
             if s.start == s.stop:
                 continue
             shared, tails = front_code(np.ascontiguousarray(keys[s]).astype(">u8").view(np.uint8).reshape(-1, 16))
-            owners = owner[s].astype("<i8").tobytes() + win[s].astype(np.uint8 if size <= 256 else "<u4").tobytes()
+            owners = owner[s].astype("<i8").tobytes() + win[s].astype("<u2").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([shared], pa.binary()), pa.array([tails], pa.binary()), pa.array([owners], pa.binary())], ["part", "shared", "tails", "owners"])
 
     for batch in batches:
-        asked = batch.column("asked").to_pylist()
+        numbers, asked = batch.column("numbers"), batch.column("asked")
         for row, buf, starts, lens in text_blocks(batch.column("text"), 1 << 20):
             p = prefix_hash(BYTE_CODE[buf])
             _, down = powers(len(buf) + 1)
-            first, count, number = [], [], []
-            for i in range(len(starts)):
-                for a in asked[row + i]:
-                    first.append(starts[i] + a["first"]), count.append(a["windows"]), number.append(a["number"])
-            if not first:
-                continue
-            first, count, number = np.array(first, np.int64), np.array(count, np.int64), np.array(number, np.int64)
+            per_row = pc.list_value_length(asked.slice(row, len(starts))).to_numpy(zero_copy_only=False)
+            number, ask = numbers.slice(row, len(starts)).flatten().to_numpy(zero_copy_only=False), asked.slice(row, len(starts)).flatten().to_numpy(zero_copy_only=False)
+            first = np.repeat(starts, per_row) + (ask & 0xFFFFFFFF)
+            count, anchor, spread = (ask >> 32) & 0xFFF, (ask >> 44) & 0xFFF, ask >> 56
+            g = mix((p[first + anchor + seed] - p[first + anchor]) * down[first + anchor])
             win = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(first, count) + win
             fp = mix((p[at + size] - p[at]) * down[at])
             pre = np.ascontiguousarray(buf[at[:, None] + np.arange(PREFIX)[None, :]]).view(">u8").ravel().astype(np.uint64)
-            held.append((pre, fp, np.repeat(number, count), win))
+            place = ((np.repeat(anchor, count) - win) // PLACES).astype(np.uint64)
+            more = (mix(pre) & ((np.uint64(1) << np.repeat(spread, count).astype(np.uint64)) - np.uint64(1)))
+            part = (mix(np.repeat(g, count) + place + (more << np.uint64(16))) % np.uint64(parts)).astype(np.int32)
+            held.append((pre, fp, part, np.repeat(number, count), win))
             n += len(at)
             if n >= RUN_WINDOWS:
                 yield from flush()
@@ -271,18 +281,17 @@ def _suffix_runs(batches: Iterator[pa.RecordBatch], size: int, parts: int) -> It
         yield from flush()
 
 
-def _combine(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by part: merge the runs of each and report (run number, first window, windows) found twice."""
     current, runs = None, []
 
     def done():
-        wide = np.uint8 if size <= 256 else np.dtype("<u4")
         decoded, owners, wins = [], [], []
         for shared, tails, own in runs:
             keys, same = front_decode(shared, tails, 16)
             decoded.append((np.ascontiguousarray(keys).view(">u8").astype(np.uint64), np.minimum(same // 8, 2)))
             m = len(keys)
-            owners.append(np.frombuffer(own[: 8 * m], "<i8")), wins.append(np.frombuffer(own[8 * m :], wide).astype(np.int64))
+            owners.append(np.frombuffer(own[: 8 * m], "<i8")), wins.append(np.frombuffer(own[8 * m :], "<u2").astype(np.int64))
         base = np.append(0, np.cumsum([len(o) for o in owners]))
         owners, wins = np.concatenate(owners), np.concatenate(wins)
         merged = merge_runs(decoded)
@@ -290,6 +299,7 @@ def _combine(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         twice[:-1] |= twice[1:]
         at = base[merged[twice, 0]] + merged[twice, 1]
         owner, win = owners[at], wins[at]
+        owner, win = owner[owner >= 0], win[owner >= 0]
         order = np.lexsort((win, owner))
         owner, win = owner[order], win[order]
         if len(owner):
@@ -308,23 +318,31 @@ def _combine(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         yield from done()
 
 
+def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's spans, merged: begins and ends by turns, as little-endian 64-bit numbers."""
+    for batch in batches:
+        out = []
+        for spans in batch.column("spans"):
+            pairs = spans.values
+            begin, end = pairs.field("first").to_numpy(), pairs.field("last").to_numpy()
+            order = np.argsort(begin, kind="stable")
+            begin, end = begin[order], np.maximum.accumulate(end[order])
+            new = np.append(True, begin[1:] > end[:-1])
+            out.append(np.stack([begin[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]], axis=1).astype("<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("cut_id"), batch.column("cut_key"), pa.array(out, pa.binary())], ["cut_id", "cut_key", "spans"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts, spans = batch.column("doc_id"), batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("spans").to_pylist()
         rows = []
-        for text, found in zip(texts, spans, strict=True):
-            text, merged = text or b"", []
-            for s in sorted((x["first"], x["last"]) for x in found or ()):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
-                else:
-                    merged.append([*s])
-            edges = [0, *(e for s in merged for e in s), len(text)]
+        for text, spans in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            text, marks = text or b"", np.frombuffer(spans or b"", "<i8").tolist()
+            edges = [0, *marks, len(text)]
             kept = b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
-            rows.append((len(text), [{"begin": a, "end": b} for a, b in merged], hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+            rows.append((len(text), [{"begin": a, "end": b} for a, b in zip(marks[::2], marks[1::2], strict=True)], hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
         n, merged, sha, kept = zip(*rows, strict=True) if rows else ((),) * 4
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(n, pa.int64()), pa.array(merged, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(sha, pa.string()), pa.array(kept, pa.binary())],
+            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(merged, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(sha, pa.string()), pa.array(kept, pa.binary())],
             ["doc_id", "n_bytes", "removed", "kept_sha256", "kept"],
         )
 
@@ -344,22 +362,26 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
     shared = written(shared, "suffix-shared")
     plain = shared.where("NOT mixed").select("doc_id", "text_key", "first", F.col("windows"))
     several = shared.where("mixed")
-    place = F.struct("doc_id", "text_key", "first", "windows")
+    place = F.struct("doc_id", "text_key", "first", "windows", "anchor")
     classes = written(several.groupBy("seed", "content").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")), "suffix-classes")
     copied = several.join(classes.where("n > 1").select("seed", "content"), ["seed", "content"]).select("doc_id", "text_key", "first", "windows")
-    asked = written(classes.select("at.*", "n", F.monotonically_increasing_id().alias("number")), "suffix-asked")
-    by_doc = asked.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "windows", "number")).alias("asked"))
-    by_doc = written(by_doc.withColumnsRenamed({"doc_id": "asked_id", "text_key": "asked_key"}), "suffix-asked-docs")
-
-    wanted = texts.join(broadcast_if_small(by_doc, DOC_ROWS), F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("text_key") == F.col("asked_key")))
-    runs = wanted.select("text", "asked").mapInArrow(lambda it: _suffix_runs(it, size, parts), _SUFFIXES)
-    merged = runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lambda it: _combine(it, size), "number long, first_window long, windows int")
+    wide = F.ceil(F.log2(F.count(F.lit(1)) / SPREAD_CLASSES)).cast("int")
+    spread = classes.groupBy("seed").agg(F.greatest(wide, F.lit(0)).alias("spread"))
+    asked = classes.join(spread, "seed").select("at.*", "n", "spread", F.monotonically_increasing_id().alias("number"))
+    asked = written(asked.withColumn("number", F.when(F.col("n") == 1, F.col("number")).otherwise(-1 - F.col("number"))), "suffix-asked")
+    packed = F.struct("number", _asked(F.col("first"), F.col("windows"), F.col("anchor"), F.col("spread")).alias("asked"))
+    by_doc = asked.groupBy(F.col("doc_id").alias("asked_id"), F.col("text_key").alias("asked_key")).agg(F.collect_list(packed).alias("all"))
+    by_doc = written(by_doc.select("asked_id", "asked_key", F.col("all.number").alias("numbers"), F.col("all.asked").alias("asked")), "suffix-asked-docs")
+    # Repeated rows are equal: whichever of them shows the windows, and if all do, no more than they already lose is found.
+    wanted = texts.join(broadcast_if_light(by_doc, 16 * F.size("asked"), BROADCAST_BYTES), F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("text_key") == F.col("asked_key")))
+    runs = wanted.select("text", "numbers", "asked").mapInArrow(lambda it: _suffix_runs(it, size, seed, parts), _SUFFIXES)
+    merged = runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_combine, "number long, first_window long, windows int")
     merged = merged.select("number", "first_window", F.col("windows").alias("found"))
     partly = merged.join(asked.where("n = 1"), "number").select("doc_id", "text_key", (F.col("first") + F.col("first_window")).alias("first"), F.col("found").alias("windows"))
     spans = plain.unionByName(copied).unionByName(partly)
-    spans = spans.groupBy(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key")).agg(F.collect_set(F.struct("first", (F.col("first") + F.col("windows") - 1 + size).alias("last"))).alias("spans"))
-    spans = written(spans, "suffix-spans")
-    cut = texts.join(broadcast_if_small(spans, DOC_ROWS), F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("text_key") == F.col("cut_key")), "left")
+    spans = spans.groupBy(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key")).agg(F.collect_list(F.struct("first", (F.col("first") + F.col("windows") - 1 + size).alias("last"))).alias("spans"))
+    spans = written(spans.mapInArrow(_merge_spans, f"cut_id {kind}, cut_key long, spans binary"), "suffix-spans")
+    cut = texts.join(broadcast_if_light(spans, F.octet_length("spans"), BROADCAST_BYTES), F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("text_key") == F.col("cut_key")), "left")
     span = "array<struct<begin:long,end:long>>"
     return cut.select("doc_id", "text", "spans").mapInArrow(lambda it: _cut(it, keep_text), f"doc_id {kind}, n_bytes long, removed {span}, kept_sha256 string, kept binary")
 

@@ -8,9 +8,11 @@
 4. Candidates are verified in sequence: batches of the two signatures are compared, and after each the posterior of
    the similarity (uniform prior) is asked; a pair goes once the threshold is less likely than `miss`. The survivors
    are verified exactly on full shingle sets; those that pass are links.
-5. Connected components of the links. A bucket that still holds several components has its cross pairs compared too,
-   in blocks of BLOCK members, by the same sequence of batches (only survivors are emitted), verified and merged. So
-   every pair that shares a band is within one component or was compared, though a hot bucket never emits its pairs.
+5. Connected components of the links. A bucket whose members, its star's center aside, are of several components has
+   its cross pairs compared too, in blocks of BLOCK members that carry their shingle sets: the same sequence of
+   batches, then exact verification on the spot, and only links that join components found so far are emitted. A
+   pair is looked at in the first band that it shares. So every pair that shares a band is within one component or
+   was compared, though a hot bucket never emits its pairs.
 
 Components are found by hooking and shortcutting with min labels over tables in the shared folder.
 
@@ -160,17 +162,33 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def _cross(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Pairs of different components between two blocks of a bucket (or within one) that no batch prunes."""
+def _cross(group: pd.DataFrame, threshold: float, percent: int) -> pd.DataFrame:
+    """Links between different components, between two blocks of a bucket (or within one); none that others imply."""
     sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), _HASHES)
-    ids, comp, side = group["doc_id"].to_numpy(), group["component"].to_numpy(), group["side"].to_numpy()
+    sets = [np.frombuffer(g, np.uint64) for g in group["grams"]]
+    sizes = np.array([len(s) for s in sets])
+    ids, side, band = group["doc_id"].to_numpy(), group["side"].to_numpy(), int(group["band"].iloc[0])
+    _, comp = np.unique(group["component"].to_numpy(), return_inverse=True)
     left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
     out = []
     for i in left:
         other = right[(comp[right] != comp[i]) & ((side[right] == 2) | (right > i))]
-        if len(other):
-            ok = other[survive(np.broadcast_to(sig[i], (len(other), _HASHES)), sig[other], threshold)]
-            out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in ok]
+        other = other[100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i])]
+        if not len(other):
+            continue
+        other = other[survive(np.broadcast_to(sig[i], (len(other), _HASHES)), sig[other], threshold)]
+        if band and len(other):  # pairs that share an earlier band are looked at there
+            early = (sig[other, : band * ROWS] == sig[i, : band * ROWS]).reshape(len(other), band, ROWS).all(axis=2).any(axis=1)
+            other = other[~early]
+        if not len(other):
+            continue
+        every = np.concatenate([sets[j] for j in other])
+        at = np.minimum(np.searchsorted(sets[i], every), sizes[i] - 1)
+        both = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.append(0, np.cumsum(sizes[other])[:-1]))
+        for j in other[100 * both >= percent * (sizes[other] + sizes[i] - both)]:
+            if comp[i] != comp[j]:
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                comp[comp == comp[j]] = comp[i]
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
@@ -211,32 +229,31 @@ def near_dedup(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, id_co
     stars = written(stars, "near-buckets")
     pairs = banded.join(stars, ["band", "bucket"]).where("doc_id <> center").select(F.least("doc_id", "center").alias("a"), F.greatest("doc_id", "center").alias("b")).distinct()
 
-    def confirmed(pairs: DataFrame, name: str, pruned: bool) -> DataFrame:
-        if not pruned:
-            left, right = reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
-            pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lambda it: _prune(it, threshold), "a long, b long")
-        pairs = written(pairs.distinct(), f"{name}-pairs")
-        wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-wanted")
-        sets = texts.join(broadcast_if_small(wanted, BROADCAST_ROWS), "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, shingle), "doc_id long, grams binary")
-        sets = written(sets, f"{name}-sets")
-        joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
-        return written(joined.select("a", "b", "grams_a", "grams_b").mapInArrow(lambda it: _verify(it, percent), "a long, b long"), f"{name}-links")
-
-    links = confirmed(pairs, "near-star", pruned=False)
+    left, right = reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
+    pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lambda it: _prune(it, threshold), "a long, b long")
+    pairs = written(pairs, "near-pairs")
+
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        ids = written(ids.distinct(), f"{name}-wanted")
+        sets = texts.join(broadcast_if_small(ids, BROADCAST_ROWS), "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, shingle), "doc_id long, grams binary")
+        return written(sets, f"{name}-sets")
+
+    sets = sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), "near-star")
+    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
+    links = written(joined.select("a", "b", "grams_a", "grams_b").mapInArrow(lambda it: _verify(it, percent), "a long, b long"), "near-links")
     labels = components(links, "near-first")
-    # Buckets that still hold several components.
-    placed = banded.join(stars.select("band", "bucket", "n"), ["band", "bucket"]).join(labels, "doc_id", "left").select("band", "bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    # Buckets that still hold several components; the pairs of their centers have been looked at.
+    placed = banded.join(stars.where("n > 2"), ["band", "bucket"]).where("doc_id <> center").join(labels, "doc_id", "left")
+    placed = written(placed.select("band", "bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("component")), "near-placed")
     mixed = placed.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "bucket")
-    mixed = placed.join(mixed, ["band", "bucket"]).join(reps, "doc_id")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mixed = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    mixed = mixed.select(
-        "band", "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "component", "sig",
+    mixed = written(placed.join(mixed, ["band", "bucket"]), "near-mixed")
+    blocks = mixed.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = blocks.join(reps.join(sets_of(mixed.select("doc_id"), "near-mixed"), "doc_id"), "doc_id").select(
+        "band", "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "component", "sig", "grams",
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    crossed = mixed.groupBy("band", "bucket", "x", "y").applyInPandas(lambda g: _cross(g, threshold), "a long, b long")
-    more = confirmed(crossed, "near-cross", pruned=True)
+    more = written(blocks.groupBy("band", "bucket", "x", "y").applyInPandas(lambda g: _cross(g, threshold, percent), "a long, b long"), "near-more")
     labels = components(links.union(more), "near-all")
     classes = written(classes.join(labels, classes.rep == labels.doc_id, "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component")), "near-labelled")
     alone = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))

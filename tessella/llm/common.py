@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,15 +16,35 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 21
 ROW_OVERHEAD = 64
+BATCH_ROWS = 1000
 _written: list[str] = []
 
 
+def _frugal() -> None:
+    """Give freed memory back: workers live on between tasks, and arrays of a block would stay in the allocator."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):  # glibc
+        for option in (-1, -3):  # trim and mmap thresholds: fixed, as they would grow to 32 MB
+            libc.mallopt(option, 1 << 20)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_frugal()
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Texts are long: at the default of 10,000 rows an Arrow batch would take much memory. Settings other than the default stay."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under new names, whatever else the table holds.
 
     Columns are found by exact name and taken by position, so that extra columns whose names clash with
     these or with an operator's own (in whatever case) cannot make a reference ambiguous.
     """
+    _small_batches(df.sparkSession)
     names = df.columns
     plain = df.toDF(*[f"_c{i}" for i in range(len(names))])
     return plain.select(*[F.col(f"_c{names.index(old)}").alias(new) for new, old in columns.items()])

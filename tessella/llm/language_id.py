@@ -31,7 +31,7 @@ HELD_MODULUS, HELD_REST = 4, 2
 PER_LANG, TRAIN_BYTES, MAX_LANGS = 200, 4000, 1000
 BUCKETS, STEPS, RATE, DECAY = 1 << 16, 40, 0.1, 1e-5
 GRAMS, AFFIXES = (2, 3), (1, 2, 3, 4)
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 
 
 def features(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, held_out=None, per_lang: int = PER_LANG, id_col: s
         for batch in batches:
             for row, buf, starts, lens in text_blocks(batch.column("text"), BLOCK_BYTES):
                 n = len(starts)
-                lettered = [_has_letter(t) for t in batch.column("text").slice(row, n).to_pylist()]
+                lettered = [_has_letter(t.as_py()) for t in batch.column("text").slice(row, n)]
                 names, scores = ["und"] * n, [0.0] * n
                 if m is not None:
                     shares = m.shares(buf, starts, lens)

@@ -35,9 +35,11 @@ from pyspark.sql import functions as F
 from .common import NOT_SPACE, crc_mod, mix, pick, text_blocks, word_hashes, written
 
 HELD_MODULUS, HELD_REST = 7, 2
-MIN_PAIR, DISCOUNT, LEVEL_BASE = 2, 0.75, 2**0.25
-BITS, HASHES, HEAD, MAX_FILTER_BYTES = 14, 6, 2_000_000, 256 << 20
-FLUSH_TOKENS = 3_000_000
+MIN_PAIR, DISCOUNT, LEVEL_BASE = 2, 0.75, 2**0.5
+BITS, HASHES, HEAD, MAX_FILTER_BYTES = 14, 6, 1_000_000, 256 << 20
+FLUSH_TOKENS = 2_000_000
+LINE = 64
+MOST_BYTES = LINE * ((1 << 32) - 1)  # of a segment
 HOT_SAMPLE, HOT_PART, HOT_WORDS = 500, 0.002, 1000
 END = np.uint64(0x656E640000000001)
 _PAIR, _REST = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -138,26 +140,31 @@ class LogBloom:
     """Segments of a Bloom filter by range of hashes; each holds every (key, 1..level)."""
 
     def __init__(self, segments: list[np.ndarray]):
-        self.bits = np.array([8 * len(s) for s in segments], np.uint64)
+        self.lines = np.array([len(s) // LINE for s in segments], np.uint64)
         self.offset = np.append(0, np.cumsum([len(s) for s in segments]))[:-1]
         self.data = np.concatenate(segments) if segments else np.zeros(0, np.uint8)
 
     @staticmethod
-    def _positions(keys: np.ndarray, levels: np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
-        h = mix(keys ^ mix(levels.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
-        step = mix(h) | np.uint64(1)
-        for i in range(HASHES):
-            yield (h + np.uint64(i) * step) % bits
+    def _place(keys: np.ndarray, levels: np.ndarray, lines) -> tuple[np.ndarray, np.ndarray]:
+        """(a key's line of 512 bits for this level, a hash whose parts of 9 bits are places there).
+
+        Four levels share a line, so reading a count back touches few lines. lines is below 2^32.
+        """
+        q = levels.astype(np.uint64)
+        h = mix(keys ^ ((q >> np.uint64(2)) * np.uint64(0x9FB21C651E98DF25)))
+        return (((h >> np.uint64(32)) * lines) >> np.uint64(32)).astype(np.int64), mix(h + q)
 
     @classmethod
     def segment(cls, keys: np.ndarray, levels: np.ndarray, nbytes: int) -> np.ndarray:
-        out = np.zeros(8 * nbytes, bool)
+        lines = max(1, nbytes // LINE)
+        out = np.zeros(8 * LINE * lines, bool)
         todo = levels.copy()
-        bits = np.uint64(8 * nbytes)
         while (live := todo > 0).any():
             keys, todo = keys[live], todo[live]
-            for at in cls._positions(keys, todo, bits):
-                out[at] = True
+            line, bits = cls._place(keys, todo, np.uint64(lines))
+            for _ in range(HASHES):
+                out[line * 512 + (bits & np.uint64(511)).astype(np.int64)] = True
+                bits = bits >> np.uint64(9)
             todo = todo - 1
         return np.packbits(out, bitorder="little")
 
@@ -166,16 +173,19 @@ class LogBloom:
         out = np.zeros(len(keys), np.int64)
         if not len(self.data):
             return out
-        part = _range_of(place, len(self.bits))
-        live = np.flatnonzero(self.bits[part] > 0)
+        part = _range_of(place, len(self.lines))
+        lines, base = self.lines[part], self.offset[part]
+        live = np.flatnonzero(lines > 0)
         q = 1
         while len(live):
-            k, bits, base = keys[live], self.bits[part[live]], self.offset[part[live]]
-            ok = np.ones(len(live), bool)
-            for at in self._positions(k, np.full(len(live), q), bits):
-                at = at.astype(np.int64)
-                ok &= (self.data[base + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
-            live = live[ok]
+            line, bits = self._place(keys[live], np.array([q]), lines[live])
+            at = base[live] + LINE * line
+            for _ in range(HASHES):  # most keys that are not there go at the first probe
+                bit = (bits & np.uint64(511)).astype(np.int64)
+                ok = ((self.data[at + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+                if not ok.all():
+                    live, at, bits = live[ok], at[ok], bits[ok]
+                bits = bits >> np.uint64(9)
             out[live] = q
             q += 1
         return out
@@ -262,7 +272,7 @@ def _rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _segments(batches: Iterator[pa.RecordBatch], bits: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, keys, levels, entries in zip(*(batch.column(c).to_pylist() for c in ("range", "keys", "levels", "entries")), strict=True):
-            made = LogBloom.segment(np.frombuffer(keys, np.uint64), np.frombuffer(levels, np.uint8).astype(np.int64), max(1, int(entries * bits / 8)))
+            made = LogBloom.segment(np.frombuffer(keys, np.uint64), np.frombuffer(levels, np.uint8).astype(np.int64), min(MOST_BYTES, max(1, int(entries * bits / 8))))
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([made.tobytes()])], ["range", "segment"])
 
 
@@ -287,19 +297,20 @@ class Model:
         at[at == len(self.words)] = 0
         return np.where(self.words[at] == keys, self.counts[at], 0)
 
-    def log10(self, toks: np.ndarray, before: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Log probabilities of tokens after others, by probes of the filter alone."""
-        word, back = np.unique(toks, return_inverse=True)
+    def log10(self, word: np.ndarray, back: np.ndarray, before: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Log probabilities of tokens after others, by probes of the filter alone.
+
+        word: the distinct tokens; back and before: each token and the one before it as positions there.
+        """
         count = floor_of(self.bloom.levels(word, word))
         uni = (count + 1) / (self.total + self.kinds + 1)
-        prev, prev_back = np.unique(before, return_inverse=True)
-        given = floor_of(self.bloom.levels(prev, prev))
-        rest = floor_of(self.rests.levels(prev ^ _REST, prev))
-        rest = np.where((rest > 0) & (given > 0), np.minimum(rest / np.maximum(given, 1), 1.0), 1.0)
+        rest = floor_of(self.rests.levels(word ^ _REST, word))
+        rest = np.where((rest > 0) & (count > 0), np.minimum(rest / np.maximum(count, 1), 1.0), 1.0)
         pair, at, pair_back = np.unique(pairs, return_index=True, return_inverse=True)
-        seen = np.maximum(floor_of(self.bloom.levels(pair, _place(pair, before[at], self.hot))) - DISCOUNT, 0)[pair_back]
-        v = given[prev_back]
-        return np.log10(np.where(v > 0, seen / np.maximum(v, 1), 0) * (1 - 1e-9) + rest[prev_back] * uni[back])
+        place = np.where(np.isin(word, self.hot)[before[at]], pair, word[before[at]])
+        seen = np.maximum(floor_of(self.bloom.levels(pair, place)) - DISCOUNT, 0)[pair_back]
+        given = count[before]
+        return np.log10(np.where(given > 0, seen / np.maximum(given, 1), 0) * (1 - 1e-9) + rest[before] * uni[back])
 
 
 def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", min_pair: int = MIN_PAIR, head: int = HEAD, bits: float = BITS, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
@@ -338,6 +349,7 @@ def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col
     frequent = built.mapInArrow(lambda it, least=least: _by_count(it, least, None), "word long, count long").toArrow()  # head rows at most
     model = Model(bloom, rest_bloom, hot, total, kinds, frequent["word"].to_numpy().view(np.uint64), frequent["count"].to_numpy())
     sent = spark.sparkContext.broadcast(model)
+    del frequent, model, bloom, rest_bloom
 
     def score(batches):
         m = sent.value
@@ -345,12 +357,14 @@ def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col
         for batch in batches:
             for row, buf, starts, lens in text_blocks(batch.column("text")):
                 toks, begin = tokens(buf, starts, lens)
-                pairs, before = pair_keys(toks, begin)
+                pairs, _ = pair_keys(toks, begin)
                 word, back = np.unique(toks, return_inverse=True)
+                before = np.append(0, back[:-1])
+                before[begin[:-1]] = np.searchsorted(word, END)
                 exact = m.exact(word)
                 base = np.add.reduceat((np.log10(exact + 1) - log_norm)[back], begin[:-1])
                 known = np.add.reduceat((exact > 0)[back].astype(np.int64), begin[:-1])
-                full = np.add.reduceat(m.log10(toks, before, pairs), begin[:-1])
+                full = np.add.reduceat(m.log10(word, back, before, pairs), begin[:-1])
                 unseen = (exact == 0)[back]
                 rare = [toks[a:b][unseen[a:b]].view(np.int64).tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] if least > 1 else [[]] * len(starts)
                 yield pa.RecordBatch.from_arrays(

@@ -40,7 +40,7 @@ SEED_ROWS, BROADCAST_BYTES = 1_500_000, 48 << 20
 #: Classes of a seed from which on it is spread over more parts, and windows of a seed that go to one part.
 SPREAD_CLASSES, PLACES = 20_000, 16
 LANES = 4096
-RUN_WINDOWS = 2_000_000
+RUN_WINDOWS = 500_000
 _POS = np.uint64((1 << 24) - 1)
 
 
@@ -93,7 +93,7 @@ _RUNS = "doc_id {}, text_key long, seed long, content long, first long, windows
 
 def _scan(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, buf, starts, lens in text_blocks(batch.column("text"), 1 << 20):
+        for row, buf, starts, lens in text_blocks(batch.column("text"), 1 << 19):
             doc, first, count, anchor, g, c = anchored_runs(buf, starts, lens, size, seed)
             at = pa.array(row + doc)
             yield pa.RecordBatch.from_arrays(
@@ -257,7 +257,7 @@ def _suffix_runs(batches: Iterator[pa.RecordBatch], size: int, seed: int, parts:
 
     for batch in batches:
         numbers, asked = batch.column("numbers"), batch.column("asked")
-        for row, buf, starts, lens in text_blocks(batch.column("text"), 1 << 20):
+        for row, buf, starts, lens in text_blocks(batch.column("text"), 1 << 19):
             p = prefix_hash(BYTE_CODE[buf])
             _, down = powers(len(buf) + 1)
             per_row = pc.list_value_length(asked.slice(row, len(starts))).to_numpy(zero_copy_only=False)
@@ -351,7 +351,7 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
     """One row per row of docs: id, n_bytes, removed (spans of bytes), kept_sha256, kept (the bytes that stay, if keep_text)."""
     spark = docs.sparkSession
     seed = min(SEED, max(8, size // 3))
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))  # each is held as a whole while it is merged
     texts = pick(docs, doc_id=id_col, text=text_col).withColumn("text_key", F.xxhash64("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     scanned = texts.where(F.octet_length("text") >= size).mapInArrow(lambda it: _scan(it, size, seed), _RUNS.format(kind))
@@ -366,8 +366,8 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
     classes = written(several.groupBy("seed", "content").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")), "suffix-classes")
     copied = several.join(classes.where("n > 1").select("seed", "content"), ["seed", "content"]).select("doc_id", "text_key", "first", "windows")
     wide = F.ceil(F.log2(F.count(F.lit(1)) / SPREAD_CLASSES)).cast("int")
-    spread = classes.groupBy("seed").agg(F.greatest(wide, F.lit(0)).alias("spread"))
-    asked = classes.join(spread, "seed").select("at.*", "n", "spread", F.monotonically_increasing_id().alias("number"))
+    spread = written(classes.groupBy("seed").agg(wide.alias("spread")).where("spread > 0"), "suffix-spread")  # very common seeds only
+    asked = classes.join(broadcast_if_small(spread, SEED_ROWS), "seed", "left").select("at.*", "n", F.coalesce("spread", F.lit(0)).alias("spread"), F.monotonically_increasing_id().alias("number"))
     asked = written(asked.withColumn("number", F.when(F.col("n") == 1, F.col("number")).otherwise(-1 - F.col("number"))), "suffix-asked")
     packed = F.struct("number", _asked(F.col("first"), F.col("windows"), F.col("anchor"), F.col("spread")).alias("asked"))
     by_doc = asked.groupBy(F.col("doc_id").alias("asked_id"), F.col("text_key").alias("asked_key")).agg(F.collect_list(packed).alias("all"))

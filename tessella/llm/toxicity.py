@@ -28,7 +28,7 @@ from .subwords import Adam, distinct_words, subwords
 
 HELD_MODULUS, HELD_REST = 5, 0
 PER_CLASS, DIM, BUCKETS = 1000, 8, 1 << 18
-SUM_STEPS, TOP_STEPS, RATE, DECAY = 60, 60, 0.03, 1e-6
+SUM_STEPS, TOP_STEPS, RATE, DECAY = 60, 60, 0.03, 1e-5
 SIZES = (3, 4, 5)
 LEAST_ROWS = 8
 

@@ -9,8 +9,8 @@
    the similarity (uniform prior) is asked; a pair goes once the threshold is less likely than `miss`. The survivors
    are verified exactly on full shingle sets; those that pass are links.
 5. Connected components of the links. A bucket whose members, its star's center aside, are of several components has
-   its cross pairs compared too, in blocks of BLOCK members that carry their shingle sets: the same sequence of
-   batches, then exact verification on the spot, and only links that join components found so far are emitted. A
+   its cross pairs compared too, in blocks of at most BLOCK members, or about BLOCK_BYTES, that carry their shingle
+   sets: the same sequence of batches, then exact verification on the spot, and only links that join components found so far are emitted. A
    pair is looked at in the first band that it shares. So every pair that shares a band is within one component or
    was compared, though a hot bucket never emits its pairs.
 
@@ -37,7 +37,7 @@ from .common import NOT_SPACE, broadcast_if_small, gram_hashes, mix, pick, text_
 
 SHINGLE, BANDS, ROWS, BATCH = 5, 24, 4, 16
 MISS = 1e-7
-BLOCK = 2048
+BLOCK, BLOCK_BYTES = 2048, 32 << 20
 BROADCAST_ROWS = 1_000_000
 _HASHES = BANDS * ROWS
 _rng = np.random.default_rng(7)
@@ -247,9 +247,11 @@ def near_dedup(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, id_co
     placed = written(placed.select("band", "bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("component")), "near-placed")
     mixed = placed.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "bucket")
     mixed = written(placed.join(mixed, ["band", "bucket"]), "near-mixed")
-    blocks = mixed.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    sets = sets_of(mixed.select("doc_id"), "near-mixed")
+    weights = mixed.join(sets.select("doc_id", (F.octet_length("grams") + 4 * _HASHES).alias("bytes")), "doc_id").groupBy("band", "bucket").agg(F.sum("bytes").alias("bytes"))
+    blocks = mixed.join(weights, ["band", "bucket"]).withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.join(reps.join(sets_of(mixed.select("doc_id"), "near-mixed"), "doc_id"), "doc_id").select(
+    blocks = blocks.join(reps.join(sets, "doc_id"), "doc_id").select(
         "band", "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "component", "sig", "grams",
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
     )

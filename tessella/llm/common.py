@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 21
 ROW_OVERHEAD = 64
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _written: list[str] = []
 
 
@@ -33,9 +33,10 @@ _frugal()
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Texts are long: at the default of 10,000 rows an Arrow batch would take much memory. Settings other than the default stay."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Texts are long: at Spark's 10,000 rows or 64 MB an Arrow batch would take much memory. Settings that someone made stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(most))
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

@@ -3,12 +3,13 @@
 Counts of words and word pairs are gathered from the training documents: each task counts its own, sorts the hashes
 and sends one packed block per range of hashes; a range's blocks are merged into exact counts in one task. Counts are
 quantised on a log scale, and an n-gram with level q enters the filter once for each of 1..q. Every range builds
-its own segment of the filter; the segments together are broadcast. A count is read back by membership probes for
-levels 1, 2, ... up to the first miss, so errors are one-sided and fall off with each level. `max_filter_bytes`
-bounds what is broadcast: beyond it segments get fewer bits for each entry and the error rate rises as is known of
-Bloom filters; nothing is left out. A pair goes to the range of its first word, which keeps blocks short; pairs after
-one of the words that are frequent in a sample go to the range of the pair, so that no range is hot. The sample
-decides on places only, not on results.
+its own segment of the filter, of `bits` bits an entry whatever the size of the corpus. A count is read back by
+membership probes for levels 1, 2, ... up to the first miss or the level of N, so errors are one-sided and fall off
+with each level. `max_filter_bytes` bounds what is broadcast and decides on the way only, not on scores: up to it the
+segments together are broadcast; beyond it the distinct words and pairs of each block of texts are dealt to the tasks
+that hold their segments, and the levels found there go back to the block. A pair goes to the range of its first word,
+which keeps blocks short; pairs after one of the words that are frequent in a sample go to the range of the pair, so
+that no range is hot. The sample decides on places only, not on results.
 
 The model: P(w | v) = d(v w) / c(v) + rest(v) / c(v) * P(w), P(w) = (c(w) + 1) / (N + V + 1). Pairs seen at least
 `min_pair` times are stored; d is the lower end of a pair's level less `discount`, rest(v) what the stored pairs of v
@@ -26,6 +27,7 @@ base is 0 and so is the score; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -139,7 +141,8 @@ def floor_of(levels: np.ndarray) -> np.ndarray:
 class LogBloom:
     """Segments of a Bloom filter by range of hashes; each holds every (key, 1..level)."""
 
-    def __init__(self, segments: list[np.ndarray]):
+    def __init__(self, segments: list[np.ndarray], most: int = 255):
+        self.most = most  # no key has a higher level
         self.lines = np.array([len(s) // LINE for s in segments], np.uint64)
         self.offset = np.append(0, np.cumsum([len(s) for s in segments]))[:-1]
         self.data = np.concatenate(segments) if segments else np.zeros(0, np.uint8)
@@ -177,7 +180,7 @@ class LogBloom:
         lines, base = self.lines[part], self.offset[part]
         live = np.flatnonzero(lines > 0)
         q = 1
-        while len(live):
+        while len(live) and q <= self.most:
             line, bits = self._place(keys[live], np.array([q]), lines[live])
             at = base[live] + LINE * line
             for _ in range(HASHES):  # most keys that are not there go at the first probe
@@ -284,8 +287,48 @@ def _by_count(batches: Iterator[pa.RecordBatch], least: int, most: int | None) -
             yield pa.RecordBatch.from_arrays([pa.array(w[stay].view(np.int64)), pa.array(c[stay])], ["word", "count"])
 
 
+class Asked(NamedTuple):
+    """What documents ask of the filter: distinct tokens and pairs, and where each token, the one before it and its pair are there."""
+
+    word: np.ndarray
+    back: np.ndarray
+    before: np.ndarray
+    pair: np.ndarray
+    pair_back: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def of(cls, toks: np.ndarray, begin: np.ndarray, hot: np.ndarray) -> Asked:
+        pairs, _ = pair_keys(toks, begin)
+        word, back = np.unique(toks, return_inverse=True)
+        before = np.append(0, back[:-1])
+        before[begin[:-1]] = np.searchsorted(word, END)
+        pair, at, pair_back = np.unique(pairs, return_index=True, return_inverse=True)
+        return cls(word, back, before, pair, pair_back, np.where(np.isin(word, hot)[before[at]], pair, word[before[at]]))
+
+    def dealt(self, ranges: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(range, its words, its pairs), both as positions, for each range that is asked."""
+        parts = [_range_of(self.word, ranges), _range_of(self.place, ranges)]
+        order = [np.argsort(p, kind="stable") for p in parts]
+        bounds = [np.searchsorted(p[o], np.arange(ranges + 1)) for p, o in zip(parts, order, strict=True)]
+        for r in np.unique(np.concatenate(parts)).tolist():
+            yield r, *(o[b[r] : b[r + 1]] for o, b in zip(order, bounds, strict=True))
+
+
+class Levels(NamedTuple):
+    """Of the distinct tokens, of what stored pairs leave of them, and of the distinct pairs."""
+
+    word: np.ndarray
+    rest: np.ndarray
+    pair: np.ndarray
+
+    @classmethod
+    def read(cls, bloom: LogBloom, rests: LogBloom, word: np.ndarray, pair: np.ndarray, place: np.ndarray) -> Levels:
+        return cls(bloom.levels(word, word), rests.levels(word ^ _REST, word), bloom.levels(pair, place))
+
+
 class Model:
-    def __init__(self, bloom: LogBloom, rests: LogBloom, hot: np.ndarray, total: int, kinds: int, words: np.ndarray, counts: np.ndarray):
+    def __init__(self, bloom: LogBloom | None, rests: LogBloom | None, hot: np.ndarray, total: int, kinds: int, words: np.ndarray, counts: np.ndarray):
         self.bloom, self.rests, self.hot, self.total, self.kinds = bloom, rests, hot, total, kinds
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
@@ -297,20 +340,107 @@ class Model:
         at[at == len(self.words)] = 0
         return np.where(self.words[at] == keys, self.counts[at], 0)
 
-    def log10(self, word: np.ndarray, back: np.ndarray, before: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Log probabilities of tokens after others, by probes of the filter alone.
-
-        word: the distinct tokens; back and before: each token and the one before it as positions there.
-        """
-        count = floor_of(self.bloom.levels(word, word))
+    def log10(self, asked: Asked, levels: Levels) -> np.ndarray:
+        """Log probabilities of tokens after others, by what the filter says alone."""
+        count = floor_of(levels.word)
         uni = (count + 1) / (self.total + self.kinds + 1)
-        rest = floor_of(self.rests.levels(word ^ _REST, word))
+        rest = floor_of(levels.rest)
         rest = np.where((rest > 0) & (count > 0), np.minimum(rest / np.maximum(count, 1), 1.0), 1.0)
-        pair, at, pair_back = np.unique(pairs, return_index=True, return_inverse=True)
-        place = np.where(np.isin(word, self.hot)[before[at]], pair, word[before[at]])
-        seen = np.maximum(floor_of(self.bloom.levels(pair, place)) - DISCOUNT, 0)[pair_back]
-        given = count[before]
-        return np.log10(np.where(given > 0, seen / np.maximum(given, 1), 0) * (1 - 1e-9) + rest[before] * uni[back])
+        seen = np.maximum(floor_of(levels.pair) - DISCOUNT, 0)[asked.pair_back]
+        given = count[asked.before]
+        return np.log10(np.where(given > 0, seen / np.maximum(given, 1), 0) * (1 - 1e-9) + rest[asked.before] * uni[asked.back])
+
+    def scored(self, docs: pa.RecordBatch, toks: np.ndarray, begin: np.ndarray, asked: Asked, levels: Levels, with_rare: bool) -> pa.RecordBatch:
+        log_norm = np.log10(self.total + self.kinds + 1)
+        exact = self.exact(asked.word)
+        base = np.add.reduceat((np.log10(exact + 1) - log_norm)[asked.back], begin[:-1])
+        known = np.add.reduceat((exact > 0)[asked.back].astype(np.int64), begin[:-1])
+        full = np.add.reduceat(self.log10(asked, levels), begin[:-1])
+        unseen = (exact == 0)[asked.back]
+        rare = [toks[a:b][unseen[a:b]].view(np.int64).tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] if with_rare else [[]] * docs.num_rows
+        return pa.RecordBatch.from_arrays(
+            [docs.column("doc_id"), docs.column("held_out"), pa.array(np.diff(begin)), pa.array(known), pa.array(base), pa.array(full), pa.array(rare, pa.list_(pa.int64()))],
+            ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+        )
+
+
+# ---- a filter that is not broadcast: questions go to its segments ------------------------------
+
+
+def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block of documents: the block as an Arrow stream."""
+    for batch in batches:
+        for row, _, starts, _ in text_blocks(batch.column("text")):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch.slice(row, len(starts)))
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["docs"])
+
+
+def _home(docs: bytes, hot: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, Asked]:
+    batch = pa.ipc.open_stream(docs).read_next_batch()
+    _, buf, starts, lens = next(text_blocks(batch.column("text"), 1 << 40))
+    toks, begin = tokens(buf, starts, lens)
+    return batch, toks, begin, Asked.of(toks, begin, hot)
+
+
+def _ask(batches: Iterator[pa.RecordBatch], ranges: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The distinct words and pairs of each block by range; kind 2, as they come after the segments of the range."""
+    for batch in batches:
+        for block, docs in zip(batch.column("block").to_pylist(), batch.column("docs").to_pylist(), strict=True):
+            *_, asked = _home(docs, hot)
+            parts, words, pairs = zip(*((r, _pack(asked.word[w]), _pack(asked.pair[p])) for r, w, p in asked.dealt(ranges)), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([2] * len(parts), pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array(words, pa.binary()), pa.array(pairs, pa.binary())], ["range", "kind", "block", "one", "two"])
+
+
+def _answer(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by range and kind: the segment of the filter (0), of the rests (1), then what blocks ask (2)."""
+    current, made = None, {}
+
+    def told(rows: list[tuple]):
+        word, pair = (np.frombuffer(b"".join(r[k] for r in rows), np.uint64) for k in (1, 2))
+        found = Levels.read(made.get(0, LogBloom([])), made.get(1, LogBloom([])), word, pair, pair)
+        w, p = (np.append(0, np.cumsum([len(r[k]) // 8 for r in rows])) for k in (1, 2))
+        levels = [np.concatenate([found.word[a:b], found.rest[a:b], found.pair[c:d]]).astype(np.uint8).tobytes() for a, b, c, d in zip(w[:-1], w[1:], p[:-1], p[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([current] * len(rows), pa.int32()), pa.array(levels, pa.binary())], ["block", "range", "data"])
+
+    for batch in batches:
+        rows = []
+        for part, kind, block, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part != current:
+                if rows:
+                    yield told(rows)
+                current, made, rows = part, {}, []
+            if kind < 2:
+                made[kind] = LogBloom([np.frombuffer(one, np.uint8)], most)
+            else:
+                rows.append((block, one, two))
+        if rows:
+            yield told(rows)
+
+
+def _gather(batches: Iterator[pa.RecordBatch], sent, ranges: int, with_rare: bool) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block and range: the block's documents (range -1), then the levels from each range."""
+    m, docs, found = sent.value, None, {}
+
+    def done():
+        batch, toks, begin, asked = _home(docs, m.hot)
+        levels = Levels(*(np.zeros(len(x), np.int64) for x in (asked.word, asked.word, asked.pair)))
+        for r, w, p in asked.dealt(ranges):
+            told = np.frombuffer(found[r], np.uint8)
+            levels.word[w], levels.rest[w], levels.pair[p] = told[: len(w)], told[len(w) : 2 * len(w)], told[2 * len(w) :]
+        return m.scored(batch, toks, begin, asked, levels, with_rare)
+
+    for batch in batches:
+        for part, data in zip(batch.column("range").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            if part < 0:
+                if docs is not None:
+                    yield done()
+                docs, found = data, {}
+            else:
+                found[part] = data
+    if docs is not None:
+        yield done()
 
 
 def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", min_pair: int = MIN_PAIR, head: int = HEAD, bits: float = BITS, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
@@ -330,13 +460,18 @@ def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col
     rests = written(rests.mapInArrow(_rests, "range int, keys binary, levels binary, entries long"), "lm-rests")
     total, kinds, entries = (x or 0 for x in built.agg(F.sum("tokens"), F.sum("kinds"), F.sum("entries")).first())
     entries += rests.agg(F.sum("entries")).first()[0] or 0
-    each = min(bits, 8 * max_filter_bytes / max(entries, 1))
+    most = int(level(np.array([total]))[0])
+    whole = entries * bits / 8 <= max_filter_bytes  # decides on the way only
+
+    def segments_of(levels: DataFrame) -> DataFrame:
+        return levels.mapInArrow(lambda it: _segments(it, bits), "range int, segment binary")
 
     def bloom_of(levels: DataFrame) -> LogBloom:
-        made = {r["range"]: np.frombuffer(bytes(r["segment"]), np.uint8) for r in levels.mapInArrow(lambda it: _segments(it, each), "range int, segment binary").toLocalIterator()}  # max_filter_bytes for both
-        return LogBloom([made.get(r, np.zeros(0, np.uint8)) for r in range(ranges)] if made else [])
+        made = {r["range"]: np.frombuffer(bytes(r["segment"]), np.uint8) for r in segments_of(levels).toLocalIterator()}  # max_filter_bytes for both
+        return LogBloom([made.get(r, np.zeros(0, np.uint8)) for r in range(ranges)] if made else [], most)
 
-    bloom, rest_bloom = bloom_of(built.select("range", "keys", "levels", "entries")), bloom_of(rests)
+    stored = built.select("range", "keys", "levels", "entries")
+    bloom, rest_bloom = (bloom_of(stored), bloom_of(rests)) if whole else (None, None)
     least = 1
     if kinds > head:  # the smallest count whose words, and all more frequent ones, fit the head
         by_level = built.mapInArrow(lambda it: _by_count(it, 1, None), "word long, count long").groupBy(F.floor(F.log2("count")).alias("q")).agg(F.count(F.lit(1)).alias("n"))
@@ -351,28 +486,29 @@ def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col
     sent = spark.sparkContext.broadcast(model)
     del frequent, model, bloom, rest_bloom
 
+    with_rare = least > 1
+
     def score(batches):
         m = sent.value
-        log_norm = np.log10(m.total + m.kinds + 1)
         for batch in batches:
             for row, buf, starts, lens in text_blocks(batch.column("text")):
                 toks, begin = tokens(buf, starts, lens)
-                pairs, _ = pair_keys(toks, begin)
-                word, back = np.unique(toks, return_inverse=True)
-                before = np.append(0, back[:-1])
-                before[begin[:-1]] = np.searchsorted(word, END)
-                exact = m.exact(word)
-                base = np.add.reduceat((np.log10(exact + 1) - log_norm)[back], begin[:-1])
-                known = np.add.reduceat((exact > 0)[back].astype(np.int64), begin[:-1])
-                full = np.add.reduceat(m.log10(word, back, before, pairs), begin[:-1])
-                unseen = (exact == 0)[back]
-                rare = [toks[a:b][unseen[a:b]].view(np.int64).tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] if least > 1 else [[]] * len(starts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(row, len(starts)), batch.column("held_out").slice(row, len(starts)), pa.array(np.diff(begin)), pa.array(known), pa.array(base), pa.array(full), pa.array(rare, pa.list_(pa.int64()))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
-                )
-
-    scored = texts.withColumn("held_out", held).mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>")
+                asked = Asked.of(toks, begin, m.hot)
+                levels = Levels.read(m.bloom, m.rests, asked.word, asked.pair, asked.place)
+                yield m.scored(batch.slice(row, len(starts)), toks, begin, asked, levels, with_rare)
+
+    columns = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"
+    marked = texts.withColumn("held_out", held)
+    if whole:
+        scored = marked.mapInArrow(score, columns)
+    else:
+        homes = written(marked.mapInArrow(_homes, "docs binary").withColumn("block", F.monotonically_increasing_id()), "lm-texts")
+        asks = homes.mapInArrow(lambda it: _ask(it, ranges, hot), "range int, kind int, block long, one binary, two binary")
+        for k, levels in enumerate((stored, rests)):
+            asks = asks.union(segments_of(levels).select("range", F.lit(k), F.lit(0).cast("long"), "segment", F.lit(b"")))
+        answers = asks.repartition(ranges, "range").sortWithinPartitions("range", "kind").mapInArrow(lambda it: _answer(it, most), "block long, range int, data binary")
+        answers = answers.union(homes.select("block", F.lit(-1), "docs")).repartition(ranges, "block").sortWithinPartitions("block", "range")
+        scored = answers.mapInArrow(lambda it: _gather(it, sent, ranges, with_rare), columns)
     if least > 1:  # words beyond the head: their share of the base is added by a join
         scored = written(scored.withColumn("at", F.monotonically_increasing_id()), "lm-scored")
         tail = built.mapInArrow(lambda it: _by_count(it, 1, least - 1), "word long, count long")

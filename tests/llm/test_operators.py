@@ -136,6 +136,14 @@ def test_lm_score(docs, empty, rows, head):
     assert lm_score.score_texts(empty).count() == 0
 
 
+@pytest.mark.parametrize("head", [10, 10**6])
+def test_lm_scores_do_not_depend_on_what_is_broadcast(spark, docs, head):
+    big = spark.read.parquet(f"{SF}/documents.parquet")
+    for table in (docs, big):
+        want, got = (lm_score.score_texts(table, head=head, max_filter_bytes=most).withColumns({c: F.round(c, 9) for c in ("base_score", "score")}) for most in (1 << 28, 4000))
+        assert by_row(got, *got.columns) == by_row(want, *want.columns)
+
+
 def test_log_bloom():
     rng = np.random.default_rng(0)
     keys, levels = rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.integers(1, 12, 5000)

@@ -7,8 +7,11 @@ say how many of its words are in each language. The text's language is that of m
 
 Forward-backward runs in lockstep over all texts of a block, longest first, so a step is a few NumPy operations.
 
-Training uses at most `per_lang` labelled texts of each language, those with the smallest hash of their id and
-TRAIN_BYTES bytes or fewer; this bounded sample is the only thing that is sampled.
+Training uses at most `per_lang` labelled texts of each language, those with the smallest hash of their id and text,
+first of the texts of TRAIN_BYTES bytes or fewer. Where a language has too few of these, longer ones follow in the same
+order, each by its first words, as many as TRAIN_BYTES bytes hold (of a longer word, its beginning); what is not in words
+takes no room. So every language with a text that has words is learned, the MAX_LANGS most frequent if there are more.
+This bounded sample is the only thing that is sampled.
 
 Defined results: texts that are null or have no letter get `und` and score 0; so does every text if nothing can be
 learned; languages are the distinct labels seen in training; null ids hash like the empty text; repeated rows get a
@@ -17,6 +20,7 @@ row each; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +36,7 @@ PER_LANG, TRAIN_BYTES, MAX_LANGS = 200, 4000, 1000
 BUCKETS, STEPS, RATE, DECAY = 1 << 16, 40, 0.1, 1e-5
 GRAMS, AFFIXES = (2, 3), (1, 2, 3, 4)
 BLOCK_BYTES = 3 << 20
+_WORDS = re.compile(rb"[A-Za-z\x80-\xff]+")
 
 
 def features(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,22 +142,48 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def first_words(text: str, most: int = TRAIN_BYTES) -> str:
+    """The first words of a text, with a space between them, that fit most bytes; the beginning of the first if it is longer."""
+    out, room = [], most
+    for found in _WORDS.finditer(text.encode()):
+        if out and found.end() - found.start() > room:
+            break
+        out.append(found.group()[:room])
+        room -= len(out[-1]) + 1
+        if room <= 0:
+            break
+    return b" ".join(out).decode("utf-8", "ignore")
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = pa.array([first_words(t.as_py()) for t in batch.column("text")], pa.string())
+        yield pa.RecordBatch.from_arrays([spans if c == "text" else batch.column(c) for c in batch.schema.names], batch.schema.names)
+
+
 def identify(docs: DataFrame, held_out=None, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of docs: id, held_out, lang_pred, score. held_out: a condition on doc_id whose rows are not learned from."""
     spark = docs.sparkSession
     texts = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
     held = held_out if held_out is not None else crc_mod("doc_id", HELD_MODULUS) == HELD_REST
-    train = texts.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES))
-    langs = [r["lang"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
+    train = texts.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    short = F.octet_length("text") <= TRAIN_BYTES
+    langs = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(short).alias("short")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
     sample = None
     turn = [F.xxhash64("doc_id", "text"), F.col("doc_id")]
-    for lang in langs:
-        part = train.where(F.col("lang") == lang).select("doc_id", "text", "lang").orderBy(*turn).limit(per_lang)
-        sample = part if sample is None else sample.union(part)
+    for lang, n, fit in langs:
+        own = train.where(F.col("lang") == lang).select("doc_id", "text", "lang")
+        parts = [own.where(short).orderBy(*turn).limit(per_lang).select("lang", "text")]
+        if fit < min(n, per_lang):
+            longer = own.where(~short).withColumn("turn", turn[0])
+            longer = longer.mapInArrow(_spans, longer.schema).where("text <> ''").orderBy("turn", "doc_id").limit(per_lang - fit)
+            parts.append(longer.select("lang", "text"))
+        for part in parts:
+            sample = part if sample is None else sample.union(part)
     model = None
-    if sample is not None:
-        rows = sorted(sample.select("lang", "text").collect())  # per_lang texts of TRAIN_BYTES for each language
-        langs = sorted(langs)
+    rows = sorted(sample.collect()) if sample is not None else []  # per_lang texts of TRAIN_BYTES for each language
+    if rows:
+        langs = sorted({r["lang"] for r in rows})
         model = Crf(langs).fit([r["text"] for r in rows], np.array([langs.index(r["lang"]) for r in rows]))
     sent = spark.sparkContext.broadcast(model)
 

@@ -275,6 +275,23 @@ def test_classifiers(spark, docs, empty):
     assert toxicity.toxicity(docs, labels.limit(0)).where("score <> 0").count() == 0 and language_id.identify(empty).count() == 0 and toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_languages_with_long_texts_only(spark):
+    rng = np.random.default_rng(5)
+    words = {k: ["".join(rng.choice(list(a), 5)) for _ in range(50)] for k, a in (("aa", "abcde"), ("bb", "vwxyz"), ("cc", "日本語学校"))}
+    made = {k: lambda n, k=k: ("" if k == "cc" else " ").join(rng.choice(words[k], n)) for k in words}
+    noise = "0123456789 - " * 400
+    long = [(k, noise + made[k](1500) + noise) for k in words for _ in range(12)]
+    short = [("aa", made["aa"](30)) for _ in range(12)]
+    asked = [(k, made[k](40)) for k in words for _ in range(4)]
+    for learned in (long, short + long[12:]):
+        assert all(len(t.encode()) > language_id.TRAIN_BYTES for k, t in learned if k != "aa")
+        rows = [(i, t, k) for i, (k, t) in enumerate(learned)] + [(1000 + i, t, k) for i, (k, t) in enumerate(asked)]
+        table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+        got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(table, F.col("doc_id") >= 1000).collect()}
+        assert got == {i: k for i, _, k in rows}
+    assert language_id.first_words("1. ab, cd\nefg hi", 9) == "ab cd efg" and language_id.first_words("日本語 x", 7) == "日本"
+
+
 def test_crf_sums_over_all_paths():
     import itertools
 

@@ -1,20 +1,23 @@
 """LM scoring with a log-frequency Bloom filter.
 
-Counts of words and word pairs are gathered from the training documents: each task counts its own, sorts the hashes
-and sends one packed block per range of hashes; a range's blocks are merged into exact counts in one task. Counts are
+Counts of words and word pairs are gathered from the training documents: each task counts its own, sorts the keys
+and sends one packed block per range of keys; a range's blocks are merged into exact counts in one task. Counts are
 quantised on a log scale, and an n-gram with level q enters the filter once for each of 1..q. Every range builds
-its own segment of the filter, of `bits` bits an entry whatever the size of the corpus. A count is read back by
-membership probes for levels 1, 2, ... up to the first miss or the level of N, so errors are one-sided and fall off
-with each level. `max_filter_bytes` bounds what is broadcast and decides on the way only, not on scores: up to it the
-segments together are broadcast; beyond it the distinct words and pairs of each block of texts are dealt to the tasks
-that hold their segments, and the levels found there go back to the block. A pair goes to the range of its first word,
-which keeps blocks short; pairs after one of the words that are frequent in a sample go to the range of the pair, so
-that no range is hot. The sample decides on places only, not on results.
-
-The model: P(w | v) = d(v w) / c(v) + rest(v) / c(v) * P(w), P(w) = (c(w) + 1) / (N + V + 1). Pairs seen at least
-`min_pair` times are stored; d is the lower end of a pair's level less `discount`, rest(v) what the stored pairs of v
-leave of c(v). All four counts come from the filter: words, pairs, and for each v the level of its rest. The first
-word of a document follows the end token.
+its own segment of the filter, of `bits` bits an entry whatever the size of the corpus; the number of ranges follows
+from the bytes of the texts, so that a task's share is the same at every size. A count is read back by repeated
+membership probes for levels 1, 2, ... up to the first miss, so errors are one-sided and fall off with each level.
+
+`max_filter_bytes` bounds what is broadcast and decides on the way only, not on scores: up to it the segments together
+are broadcast; beyond it the distinct words and pairs of each block of texts are dealt to the tasks that hold their
+segments, and the levels found there go back to the block. The leading bits of a pair's key are those of its first
+word, so a word and all pairs after it lie in one range; pairs after one of the words that are frequent in a uniform
+sample of documents have leading bits of their own, so that no range is hot. The sample decides on places only.
+
+The model, in quarters of a count: P(w | v) = d(v w) / D(v) + R(v) / D(v) * P(w), P(w) = (c(w) + 1) / (N + V + 1).
+d is a pair's stored count less DISCOUNT (pairs seen at least `min_pair` times are stored), R(v) what all d after v leave
+of c(v), rounded down to a level and stored as such, D(v) the largest count of c(v)'s level. As all come from stored
+levels, the probabilities after any v sum to at most 1, but for false hits of the filter. Where v has no stored pair,
+P(w | v) = P(w). The first word of a document follows the end token.
 
 The base score is exact: the `head` most frequent words are broadcast with their exact counts (a fixed bound), words
 beyond them are joined by hash, which is free of hot keys since they are rare.
@@ -37,14 +40,34 @@ from pyspark.sql import functions as F
 from .common import NOT_SPACE, crc_mod, mix, pick, text_blocks, word_hashes, written
 
 HELD_MODULUS, HELD_REST = 7, 2
-MIN_PAIR, DISCOUNT, LEVEL_BASE = 2, 0.75, 2**0.5
-BITS, HASHES, HEAD, MAX_FILTER_BYTES = 14, 6, 1_000_000, 256 << 20
-FLUSH_TOKENS = 2_000_000
-LINE = 64
-MOST_BYTES = LINE * ((1 << 32) - 1)  # of a segment
-HOT_SAMPLE, HOT_PART, HOT_WORDS = 500, 0.002, 1000
+MIN_PAIR, LEVEL_BASE = 2, 2**0.25
+#: Counts and what is made of them are kept in quarters, in which the discount is whole.
+UNIT, DISCOUNT = 4, 3
+BITS, HEAD, MAX_FILTER_BYTES = 14, 1_000_000, 256 << 20
+FLUSH_TOKENS, RANGE_BYTES = 2_000_000, 24 << 20
+HOT_SAMPLE, HOT_PART, HOT_WORDS = 2000, 0.002, 1000
 END = np.uint64(0x656E640000000001)
-_PAIR, _REST = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_PAIR, _REST = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9FB21C651E98DF25)
+#: The leading bits of a key say in which range it lies.
+_LOW = np.uint64((1 << 40) - 1)
+#: Distinct integers on the log scale: a count's level is how many of them do not exceed it.
+STEPS = np.unique(np.ceil(LEVEL_BASE ** np.arange(248) - 1e-6).astype(np.int64))
+
+
+def level(counts: np.ndarray, least: int = 1) -> np.ndarray:
+    """Levels counted from that of `least` on, which is 1; 0 for smaller counts."""
+    return np.maximum(np.searchsorted(STEPS, counts, "right") - np.searchsorted(STEPS, least, "right") + 1, 0)
+
+
+def floor_of(levels: np.ndarray, least: int = 1) -> np.ndarray:
+    """The step that a level stands for; 0 for level 0."""
+    at = np.searchsorted(STEPS, least, "right") - 2 + levels
+    return np.where(levels > 0, STEPS[np.clip(at, 0, len(STEPS) - 1)], 0)
+
+
+def most_of(levels: np.ndarray) -> np.ndarray:
+    """The largest count of a level; 0 for level 0."""
+    return np.where(levels > 0, STEPS[np.clip(levels, 0, len(STEPS) - 1)] - 1, 0)
 
 
 def tokens(buf, starts, lens) -> tuple[np.ndarray, np.ndarray]:
@@ -57,24 +80,50 @@ def tokens(buf, starts, lens) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-def pair_keys(toks: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def words_before(toks: np.ndarray, begin: np.ndarray) -> np.ndarray:
     before = np.empty_like(toks)
     before[1:] = toks[:-1]
     before[begin[:-1]] = END
-    return mix(before * _PAIR + toks), before
+    return before
 
 
-def _pack(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values).tobytes()
+def pair_keys(before: np.ndarray, toks: np.ndarray, is_hot: np.ndarray) -> np.ndarray:
+    keys = mix(before * _PAIR + toks)
+    return np.where(is_hot, keys, (keys & _LOW) | (before & ~_LOW))
+
+
+def rest_keys(words: np.ndarray) -> np.ndarray:
+    """Keys of the rests of words, in the words' ranges."""
+    return (mix(words ^ _REST) & _LOW) | (words & ~_LOW)
+
 
+def rest_levels(counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Of words with their counts and the sums of what is stored after them, which leave DISCOUNT or more."""
+    return level(UNIT * counts - sums, DISCOUNT)
 
-def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    return ((hashes >> np.uint64(40)) % np.uint64(ranges)).astype(np.int64)
 
+def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """In the order of the keys, so that sorted keys are sorted by range."""
+    return (((keys >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)).astype(np.int64)
 
-def _place(pairs: np.ndarray, before: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The hash whose range a pair goes to."""
-    return np.where(np.isin(before, hot), pairs, before) if len(hot) else before
+
+class Few:
+    """Membership in a small set of hashes."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[(hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        out = self.maybe[(keys & np.uint64(0xFFFF)).astype(np.int64)]
+        some = np.flatnonzero(out)
+        out[some] = np.isin(keys[some], self.hashes)
+        return out
+
+
+def _pack(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values).tobytes()
 
 
 def _frequent(batches: Iterator[pa.RecordBatch], part: float) -> Iterator[pa.RecordBatch]:
@@ -85,116 +134,110 @@ def _frequent(batches: Iterator[pa.RecordBatch], part: float) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["word"])
 
 
-def _count(batches: Iterator[pa.RecordBatch], ranges: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Blocks of (word hash, count) and (pair hash, first word, count) by range; a pair goes to its first word's range."""
-    words, pairs, firsts, n = [], [], [], 0
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begin = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return values[begin], np.diff(np.append(begin, len(values)))
+
+
+_COUNTS = "range int, kind string, hashes binary, counts binary, owners binary, sizes binary"
+
+
+def _count(batches: Iterator[pa.RecordBatch], ranges: int, hot: Few) -> Iterator[pa.RecordBatch]:
+    """Blocks of (word hash, count) and (pair key, count), with the first words of the pairs as runs, by range."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
 
     def flush():
-        w = np.concatenate(words)
-        keys, counts = np.unique(w, return_counts=True)
-        yield from send("w", keys, keys, keys, counts)
-        p, v = np.concatenate(pairs), np.concatenate(firsts)
-        keys, at, counts = np.unique(p, return_index=True, return_counts=True)
-        yield from send("p", keys, v[at], _place(keys, v[at], hot), counts)
-
-    def send(kind, keys, owner, place, counts):
-        part = _range_of(place, ranges)
-        order = np.argsort(part, kind="stable")
-        keys, owner, counts, part = keys[order], owner[order], counts[order], part[order]
-        bounds = np.searchsorted(part, np.arange(ranges + 1))
-        for r in range(ranges):
+        toks, before = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield from send("w", *np.unique(toks, return_counts=True), None)
+        pairs = pair_keys(before, toks, hot.of(before))
+        order = np.argsort(pairs)
+        pairs, before = pairs[order], before[order]
+        begin = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+        yield from send("p", pairs[begin], np.diff(np.append(begin, len(pairs))), before[begin])
+
+    def send(kind, keys, counts, owner):
+        bounds = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1))
+        full = np.flatnonzero(np.diff(bounds)).tolist()
+        rows = []
+        for r in full:
             s = slice(bounds[r], bounds[r + 1])
-            if s.stop > s.start:
-                # first words repeat: they are sent as a list of their own with run lengths
-                o = np.argsort(owner[s], kind="stable") if kind == "p" else slice(None)
-                own, size = np.unique(owner[s][o], return_counts=True) if kind == "p" else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r], pa.int32()), pa.array([kind]), pa.array([_pack(keys[s][o])]), pa.array([_pack(counts[s][o].astype("<u4"))]), pa.array([_pack(own)]), pa.array([_pack(size.astype("<u4"))])],
-                    ["range", "kind", "hashes", "counts", "owners", "sizes"],
-                )
+            own, size = _runs(owner[s]) if owner is not None else (keys[:0], counts[:0])
+            rows.append((_pack(keys[s]), _pack(counts[s].astype("<u4")), _pack(own), _pack(size.astype("<u4"))))
+        for at in range(0, len(rows), 256):
+            some = rows[at : at + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(full[at : at + 256], pa.int32()), pa.array([kind] * len(some)), *(pa.array(c, pa.binary()) for c in zip(*some, strict=True))], ["range", "kind", "hashes", "counts", "owners", "sizes"])
 
     for batch in batches:
         for _, buf, starts, lens in text_blocks(batch.column(0)):
             toks, begin = tokens(buf, starts, lens)
-            keys, before = pair_keys(toks, begin)
-            words.append(toks), pairs.append(keys), firsts.append(before)
+            held.append((toks, words_before(toks, begin)))
             n += len(toks)
             if n >= FLUSH_TOKENS:
                 yield from flush()
-                words, pairs, firsts, n = [], [], [], 0
+                held, n = [], 0
     if n:
         yield from flush()
 
 
-def level(counts: np.ndarray) -> np.ndarray:
-    """1 + floor(log_base count), 0 for 0; floor_of(level) never exceeds the count."""
-    q = np.zeros(len(counts), np.int64)
-    some = counts > 0
-    q[some] = 1 + np.floor(np.log(counts[some]) / np.log(LEVEL_BASE) + 1e-9).astype(np.int64)
-    return q
-
-
-def floor_of(levels: np.ndarray) -> np.ndarray:
-    return np.where(levels > 0, LEVEL_BASE ** (levels - 1.0), 0.0)
+#: Fixed by a rule: sets of five of 64 bits.
+_MASKS = np.bitwise_or.reduce(np.uint64(1) << np.random.default_rng(5).integers(0, 64, (1 << 16, 5), dtype=np.uint64), axis=1)
 
 
 class LogBloom:
-    """Segments of a Bloom filter by range of hashes; each holds every (key, 1..level)."""
+    """Segments of a Bloom filter by range of keys; each holds every (key, 1..level).
+
+    An entry sets five bits of one 64-bit cell, so a probe is one look.
+    """
 
     def __init__(self, segments: list[np.ndarray], most: int = 255):
         self.most = most  # no key has a higher level
-        self.lines = np.array([len(s) // LINE for s in segments], np.uint64)
-        self.offset = np.append(0, np.cumsum([len(s) for s in segments]))[:-1]
-        self.data = np.concatenate(segments) if segments else np.zeros(0, np.uint8)
+        self.cells = np.array([len(s) for s in segments], np.uint64)
+        self.offset = np.append(0, np.cumsum([len(s) for s in segments]))[:-1].astype(np.int64)
+        self.data = np.concatenate(segments) if segments else np.zeros(0, np.uint64)
 
     @staticmethod
-    def _place(keys: np.ndarray, levels: np.ndarray, lines) -> tuple[np.ndarray, np.ndarray]:
-        """(a key's line of 512 bits for this level, a hash whose parts of 9 bits are places there).
-
-        Four levels share a line, so reading a count back touches few lines. lines is below 2^32.
-        """
-        q = levels.astype(np.uint64)
-        h = mix(keys ^ ((q >> np.uint64(2)) * np.uint64(0x9FB21C651E98DF25)))
-        return (((h >> np.uint64(32)) * lines) >> np.uint64(32)).astype(np.int64), mix(h + q)
+    def _place(keys: np.ndarray, levels: np.ndarray | int, cells) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, mask) of an entry. cells is below 2^32."""
+        h = keys + np.asarray(levels).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        return (((h >> np.uint64(32)) * cells) >> np.uint64(32)).astype(np.int64), _MASKS[(h & np.uint64(0xFFFF)).astype(np.int64)]
 
     @classmethod
     def segment(cls, keys: np.ndarray, levels: np.ndarray, nbytes: int) -> np.ndarray:
-        lines = max(1, nbytes // LINE)
-        out = np.zeros(8 * LINE * lines, bool)
-        todo = levels.copy()
+        cells = min(max(1, nbytes // 8), (1 << 32) - 1)
+        out = np.zeros(cells, np.uint64)
+        todo = levels.astype(np.int64)
         while (live := todo > 0).any():
             keys, todo = keys[live], todo[live]
-            line, bits = cls._place(keys, todo, np.uint64(lines))
-            for _ in range(HASHES):
-                out[line * 512 + (bits & np.uint64(511)).astype(np.int64)] = True
-                bits = bits >> np.uint64(9)
+            at, mask = cls._place(keys, todo, np.uint64(cells))
+            np.bitwise_or.at(out, at, mask)
             todo = todo - 1
-        return np.packbits(out, bitorder="little")
+        return out
 
-    def levels(self, keys: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Levels of keys that lie in the range of place."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The levels of keys; sorted keys go through the filter from one segment to the next."""
         out = np.zeros(len(keys), np.int64)
         if not len(self.data):
             return out
-        part = _range_of(place, len(self.lines))
-        lines, base = self.lines[part], self.offset[part]
-        live = np.flatnonzero(lines > 0)
-        q = 1
-        while len(live) and q <= self.most:
-            line, bits = self._place(keys[live], np.array([q]), lines[live])
-            at = base[live] + LINE * line
-            for _ in range(HASHES):  # most keys that are not there go at the first probe
-                bit = (bits & np.uint64(511)).astype(np.int64)
-                ok = ((self.data[at + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
-                if not ok.all():
-                    live, at, bits = live[ok], at[ok], bits[ok]
-                bits = bits >> np.uint64(9)
+        part = _range_of(keys, len(self.cells))
+        cells, base = self.cells[part], self.offset[part]
+        live = np.flatnonzero(cells > 0)
+        if len(live) < len(keys):
+            keys, cells, base = keys[live], cells[live], base[live]
+        for q in range(1, self.most + 1):  # most keys go at the first probes
+            at, mask = self._place(keys, q, cells)
+            hit = np.flatnonzero((self.data[base + at] & mask) == mask)
+            if not len(hit):
+                break
+            live, keys, cells, base = live[hit], keys[hit], cells[hit], base[hit]
             out[live] = q
-            q += 1
         return out
 
 
 def _merged(blocks: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts, first words) of sorted blocks; the sort is one of runs that are in order."""
     if not blocks:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     keys = np.concatenate([np.frombuffer(h, np.uint64) for h, *_ in blocks])
@@ -206,22 +249,32 @@ def _merged(blocks: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[begin], np.add.reduceat(counts, begin), owners[order][begin] if len(owners) else owners
 
 
-def _build(batches: Iterator[pa.RecordBatch], min_pair: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by range: exact counts of its words, and the entries of its segment."""
+_BUILT = "range int, words binary, counts binary, keys binary, levels binary, entries long, tokens long, kinds long, hot array<struct<word:long,count:long,sum:long>>"
+
+
+def _build(batches: Iterator[pa.RecordBatch], min_pair: int, hot: Few) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by range: exact counts of its words, the entries of its segment, and what it knows of hot words."""
     current, held = None, {"w": [], "p": []}
+    struct = pa.list_(pa.struct([("word", pa.int64()), ("count", pa.int64()), ("sum", pa.int64())]))
 
     def done():
         words, counts, _ = _merged(held["w"])
         pairs, seen, owners = _merged(held["p"])
         stay = seen >= min_pair
         pairs, seen, owners = pairs[stay], seen[stay], owners[stay]
-        q = level(seen)
+        q = level(seen, min_pair)
         own, back = np.unique(owners, return_inverse=True)
-        mass = np.bincount(back, weights=np.maximum(floor_of(q) - DISCOUNT, 0), minlength=len(own))
-        levels = np.concatenate([level(counts), q])
+        sums = np.bincount(back, weights=UNIT * floor_of(q, min_pair) - DISCOUNT, minlength=len(own)).astype(np.int64)
+        is_hot = hot.of(own)
+        cold = ~is_hot  # they themselves and all of their pairs are here
+        keys = np.concatenate([words, pairs, rest_keys(own[cold])])
+        levels = np.concatenate([level(counts), q, rest_levels(counts[np.searchsorted(words, own[cold])], sums[cold])])
+        told = [{"word": int(w), "count": 0, "sum": int(s)} for w, s in zip(own[is_hot].view(np.int64), sums[is_hot], strict=True)]
+        here = hot.of(words)
+        told += [{"word": int(w), "count": int(c), "sum": 0} for w, c in zip(words[here].view(np.int64), counts[here], strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([current], pa.int32()), pa.array([_pack(words)]), pa.array([_pack(counts)]), pa.array([_pack(np.concatenate([words, pairs]))]), pa.array([_pack(levels.astype(np.uint8))]), pa.array([int(levels.sum())]), pa.array([int(counts.sum())]), pa.array([len(words)]), pa.array([_pack(own)]), pa.array([_pack(mass)])],
-            ["range", "words", "counts", "keys", "levels", "entries", "tokens", "kinds", "owners", "masses"],
+            [pa.array([current], pa.int32()), pa.array([_pack(words)]), pa.array([_pack(counts)]), pa.array([_pack(keys)]), pa.array([_pack(levels.astype(np.uint8))]), pa.array([int(levels.sum())]), pa.array([int(counts.sum())]), pa.array([len(words)]), pa.array([told], struct)],
+            ["range", "words", "counts", "keys", "levels", "entries", "tokens", "kinds", "hot"],
         )
 
     for batch in batches:
@@ -235,47 +288,14 @@ def _build(batches: Iterator[pa.RecordBatch], min_pair: int) -> Iterator[pa.Reco
         yield from done()
 
 
-def _masses(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
-    """Words with their counts, and what stored pairs take from them, by the range of the word."""
-    names = ["range", "kind", "hashes", "values"]
-    for batch in batches:
-        for part, words, counts, own, mass in zip(*(batch.column(c).to_pylist() for c in ("range", "words", "counts", "owners", "masses")), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array(["w"]), pa.array([words]), pa.array([counts])], names)
-            own, mass = np.frombuffer(own, np.uint64), np.frombuffer(mass, np.float64)
-            to = _range_of(own, ranges)
-            for r in np.unique(to).tolist():
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array(["m"]), pa.array([_pack(own[to == r])]), pa.array([_pack(mass[to == r])])], names)
-
-
-def _rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by range: the levels of what is left of each word's count."""
-    current, held = None, {"w": [], "m": []}
-
-    def done():
-        words = np.concatenate([np.frombuffer(h, np.uint64) for h, _ in held["w"]])
-        counts = np.concatenate([np.frombuffer(v, np.int64) for _, v in held["w"]])
-        if held["m"] and len(words):
-            own = np.concatenate([np.frombuffer(h, np.uint64) for h, _ in held["m"]])
-            mass = np.bincount(np.searchsorted(words, own), weights=np.concatenate([np.frombuffer(v, np.float64) for _, v in held["m"]]), minlength=len(words))
-            some = mass > 0
-            levels = level(np.maximum(np.floor(counts[some] - mass[some]), 1).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([_pack(words[some] ^ _REST)]), pa.array([_pack(levels.astype(np.uint8))]), pa.array([int(levels.sum())])], ["range", "keys", "levels", "entries"])
-
+def _segments(batches: Iterator[pa.RecordBatch], bits: float, ranges: int, more: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """more: keys and levels of the rests of hot words."""
+    place = _range_of(more[0], ranges)
     for batch in batches:
-        for part, kind, *block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if current is not None and part != current:
-                yield from done()
-                held = {"w": [], "m": []}
-            current = part
-            held[kind].append(block)
-    if current is not None:
-        yield from done()
-
-
-def _segments(batches: Iterator[pa.RecordBatch], bits: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, keys, levels, entries in zip(*(batch.column(c).to_pylist() for c in ("range", "keys", "levels", "entries")), strict=True):
-            made = LogBloom.segment(np.frombuffer(keys, np.uint64), np.frombuffer(levels, np.uint8).astype(np.int64), min(MOST_BYTES, max(1, int(entries * bits / 8))))
+        for part, keys, levels in zip(*(batch.column(c).to_pylist() for c in ("range", "keys", "levels")), strict=True):
+            keys = np.concatenate([np.frombuffer(keys, np.uint64), more[0][place == part]])
+            levels = np.concatenate([np.frombuffer(levels, np.uint8), more[1][place == part]]).astype(np.int64)
+            made = LogBloom.segment(keys, levels, int(levels.sum() * bits / 8))
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([made.tobytes()])], ["range", "segment"])
 
 
@@ -288,48 +308,63 @@ def _by_count(batches: Iterator[pa.RecordBatch], least: int, most: int | None) -
 
 
 class Asked(NamedTuple):
-    """What documents ask of the filter: distinct tokens and pairs, and where each token, the one before it and its pair are there."""
+    """What documents ask of the filter: distinct tokens and pairs, sorted, and where each token, the one before it and its pair are there."""
 
     word: np.ndarray
     back: np.ndarray
     before: np.ndarray
     pair: np.ndarray
     pair_back: np.ndarray
-    place: np.ndarray
+    pair_before: np.ndarray
 
     @classmethod
-    def of(cls, toks: np.ndarray, begin: np.ndarray, hot: np.ndarray) -> Asked:
-        pairs, _ = pair_keys(toks, begin)
-        word, back = np.unique(toks, return_inverse=True)
+    def of(cls, toks: np.ndarray, begin: np.ndarray, hot: Few) -> Asked:
+        word, back = _distinct(toks)
         before = np.append(0, back[:-1])
         before[begin[:-1]] = np.searchsorted(word, END)
-        pair, at, pair_back = np.unique(pairs, return_index=True, return_inverse=True)
-        return cls(word, back, before, pair, pair_back, np.where(np.isin(word, hot)[before[at]], pair, word[before[at]]))
-
-    def dealt(self, ranges: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(range, its words, its pairs), both as positions, for each range that is asked."""
-        parts = [_range_of(self.word, ranges), _range_of(self.place, ranges)]
-        order = [np.argsort(p, kind="stable") for p in parts]
-        bounds = [np.searchsorted(p[o], np.arange(ranges + 1)) for p, o in zip(parts, order, strict=True)]
+        pair, pair_back = _distinct(pair_keys(word[before], toks, hot.of(word)[before]))
+        pair_before = np.empty(len(pair), np.int64)
+        pair_before[pair_back] = before
+        return cls(word, back, before, pair, pair_back, pair_before)
+
+    def dealt(self, ranges: int) -> Iterator[tuple[int, slice, slice]]:
+        """(range, its words, its pairs), both as slices, for each range that is asked."""
+        parts = [_range_of(x, ranges) for x in (self.word, self.pair)]
+        bounds = [np.searchsorted(p, np.arange(ranges + 1)) for p in parts]
         for r in np.unique(np.concatenate(parts)).tolist():
-            yield r, *(o[b[r] : b[r + 1]] for o, b in zip(order, bounds, strict=True))
+            yield r, *(slice(b[r], b[r + 1]) for b in bounds)
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and where each value is there."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.append(True, ordered[1:] != ordered[:-1]) if len(values) else np.zeros(0, bool)
+    back = np.empty(len(values), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[new], back
 
 
 class Levels(NamedTuple):
-    """Of the distinct tokens, of what stored pairs leave of them, and of the distinct pairs."""
+    """Of the distinct tokens: their counts and what is left of them; and of the distinct pairs."""
 
     word: np.ndarray
     rest: np.ndarray
     pair: np.ndarray
 
     @classmethod
-    def read(cls, bloom: LogBloom, rests: LogBloom, word: np.ndarray, pair: np.ndarray, place: np.ndarray) -> Levels:
-        return cls(bloom.levels(word, word), rests.levels(word ^ _REST, word), bloom.levels(pair, place))
+    def read(cls, bloom: LogBloom, word: np.ndarray, pair: np.ndarray, pair_before: np.ndarray | None = None) -> Levels:
+        """pair_before: where the words before the pairs are; nothing is stored after words without a rest."""
+        rest = bloom.levels(rest_keys(word))
+        live = np.flatnonzero(rest[pair_before]) if pair_before is not None else slice(None)
+        found = np.zeros(len(pair), np.int64)
+        found[live] = bloom.levels(pair[live])
+        return cls(bloom.levels(word), rest, found)
 
 
 class Model:
-    def __init__(self, bloom: LogBloom | None, rests: LogBloom | None, hot: np.ndarray, total: int, kinds: int, words: np.ndarray, counts: np.ndarray):
-        self.bloom, self.rests, self.hot, self.total, self.kinds = bloom, rests, hot, total, kinds
+    def __init__(self, bloom: LogBloom | None, hot: Few, total: int, kinds: int, words: np.ndarray, counts: np.ndarray, min_pair: int):
+        self.bloom, self.hot, self.total, self.kinds, self.min_pair = bloom, hot, total, kinds, min_pair
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
 
@@ -340,26 +375,28 @@ class Model:
         at[at == len(self.words)] = 0
         return np.where(self.words[at] == keys, self.counts[at], 0)
 
-    def log10(self, asked: Asked, levels: Levels) -> np.ndarray:
-        """Log probabilities of tokens after others, by what the filter says alone."""
-        count = floor_of(levels.word)
-        uni = (count + 1) / (self.total + self.kinds + 1)
-        rest = floor_of(levels.rest)
-        rest = np.where((rest > 0) & (count > 0), np.minimum(rest / np.maximum(count, 1), 1.0), 1.0)
-        seen = np.maximum(floor_of(levels.pair) - DISCOUNT, 0)[asked.pair_back]
-        given = count[asked.before]
-        return np.log10(np.where(given > 0, seen / np.maximum(given, 1), 0) * (1 - 1e-9) + rest[asked.before] * uni[asked.back])
+    def probabilities(self, asked: Asked, levels: Levels) -> np.ndarray:
+        """Of tokens after others, by what the filter says alone."""
+        one = (floor_of(levels.word) + 1) / (self.total + self.kinds + 1)
+        known = (levels.rest > 0) & (levels.word > 0)
+        whole = np.where(known, UNIT * most_of(levels.word), 1)
+        rest = np.minimum(floor_of(levels.rest, DISCOUNT), whole)
+        seen = np.where(levels.pair > 0, UNIT * floor_of(levels.pair, self.min_pair) - DISCOUNT, 0)
+        seen = np.where(known[asked.pair_before], np.minimum(seen, (whole - rest)[asked.pair_before]) / whole[asked.pair_before], 0.0)
+        return seen[asked.pair_back] + np.where(known, rest / whole, 1.0)[asked.before] * one[asked.back]
 
     def scored(self, docs: pa.RecordBatch, toks: np.ndarray, begin: np.ndarray, asked: Asked, levels: Levels, with_rare: bool) -> pa.RecordBatch:
         log_norm = np.log10(self.total + self.kinds + 1)
         exact = self.exact(asked.word)
         base = np.add.reduceat((np.log10(exact + 1) - log_norm)[asked.back], begin[:-1])
-        known = np.add.reduceat((exact > 0)[asked.back].astype(np.int64), begin[:-1])
-        full = np.add.reduceat(self.log10(asked, levels), begin[:-1])
         unseen = (exact == 0)[asked.back]
-        rare = [toks[a:b][unseen[a:b]].view(np.int64).tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] if with_rare else [[]] * docs.num_rows
+        known = np.add.reduceat((~unseen).astype(np.int64), begin[:-1])
+        full = np.add.reduceat(np.log10(self.probabilities(asked, levels)), begin[:-1])
+        unseen &= with_rare
+        at = np.append(0, np.cumsum(unseen))[begin].astype(np.int32)
+        rare = pa.ListArray.from_arrays(pa.array(at), pa.array(toks[unseen].view(np.int64)))
         return pa.RecordBatch.from_arrays(
-            [docs.column("doc_id"), docs.column("held_out"), pa.array(np.diff(begin)), pa.array(known), pa.array(base), pa.array(full), pa.array(rare, pa.list_(pa.int64()))],
+            [docs.column("doc_id"), docs.column("held_out"), pa.array(np.diff(begin)), pa.array(known), pa.array(base), pa.array(full), rare],
             ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
         )
 
@@ -377,29 +414,29 @@ def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["docs"])
 
 
-def _home(docs: bytes, hot: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, Asked]:
+def _home(docs: bytes, hot: Few) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, Asked]:
     batch = pa.ipc.open_stream(docs).read_next_batch()
     _, buf, starts, lens = next(text_blocks(batch.column("text"), 1 << 40))
     toks, begin = tokens(buf, starts, lens)
     return batch, toks, begin, Asked.of(toks, begin, hot)
 
 
-def _ask(batches: Iterator[pa.RecordBatch], ranges: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The distinct words and pairs of each block by range; kind 2, as they come after the segments of the range."""
+def _ask(batches: Iterator[pa.RecordBatch], ranges: int, hot: Few) -> Iterator[pa.RecordBatch]:
+    """The distinct words and pairs of each block by range; kind 1, as they come after the segment of the range."""
     for batch in batches:
         for block, docs in zip(batch.column("block").to_pylist(), batch.column("docs").to_pylist(), strict=True):
             *_, asked = _home(docs, hot)
             parts, words, pairs = zip(*((r, _pack(asked.word[w]), _pack(asked.pair[p])) for r, w, p in asked.dealt(ranges)), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([2] * len(parts), pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array(words, pa.binary()), pa.array(pairs, pa.binary())], ["range", "kind", "block", "one", "two"])
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([1] * len(parts), pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array(words, pa.binary()), pa.array(pairs, pa.binary())], ["range", "kind", "block", "one", "two"])
 
 
-def _answer(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by range and kind: the segment of the filter (0), of the rests (1), then what blocks ask (2)."""
-    current, made = None, {}
+def _answer(batches: Iterator[pa.RecordBatch], ranges: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by range and kind: the segment of the range, then what blocks ask of it."""
+    current, made = None, LogBloom([])
 
     def told(rows: list[tuple]):
         word, pair = (np.frombuffer(b"".join(r[k] for r in rows), np.uint64) for k in (1, 2))
-        found = Levels.read(made.get(0, LogBloom([])), made.get(1, LogBloom([])), word, pair, pair)
+        found = Levels.read(made, word, pair)
         w, p = (np.append(0, np.cumsum([len(r[k]) // 8 for r in rows])) for k in (1, 2))
         levels = [np.concatenate([found.word[a:b], found.rest[a:b], found.pair[c:d]]).astype(np.uint8).tobytes() for a, b, c, d in zip(w[:-1], w[1:], p[:-1], p[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([current] * len(rows), pa.int32()), pa.array(levels, pa.binary())], ["block", "range", "data"])
@@ -410,9 +447,10 @@ def _answer(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
             if part != current:
                 if rows:
                     yield told(rows)
-                current, made, rows = part, {}, []
-            if kind < 2:
-                made[kind] = LogBloom([np.frombuffer(one, np.uint8)], most)
+                current, made, rows = part, LogBloom([]), []
+            if kind == 0:
+                empty = np.zeros(0, np.uint64)
+                made = LogBloom([empty] * part + [np.frombuffer(one, np.uint64)] + [empty] * (ranges - part - 1), most)
             else:
                 rows.append((block, one, two))
         if rows:
@@ -427,8 +465,8 @@ def _gather(batches: Iterator[pa.RecordBatch], sent, ranges: int, with_rare: boo
         batch, toks, begin, asked = _home(docs, m.hot)
         levels = Levels(*(np.zeros(len(x), np.int64) for x in (asked.word, asked.word, asked.pair)))
         for r, w, p in asked.dealt(ranges):
-            told = np.frombuffer(found[r], np.uint8)
-            levels.word[w], levels.rest[w], levels.pair[p] = told[: len(w)], told[len(w) : 2 * len(w)], told[2 * len(w) :]
+            told, n = np.frombuffer(found[r], np.uint8), w.stop - w.start
+            levels.word[w], levels.rest[w], levels.pair[p] = told[:n], told[n : 2 * n], told[2 * n :]
         return m.scored(batch, toks, begin, asked, levels, with_rare)
 
     for batch in batches:
@@ -443,35 +481,31 @@ def _gather(batches: Iterator[pa.RecordBatch], sent, ranges: int, with_rare: boo
         yield done()
 
 
-def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", min_pair: int = MIN_PAIR, head: int = HEAD, bits: float = BITS, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", min_pair: int = MIN_PAIR, head: int = HEAD, bits: float = BITS, max_filter_bytes: int = MAX_FILTER_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a condition on doc_id."""
     spark = docs.sparkSession
     texts = pick(docs, doc_id=id_col, text=text_col)
     held = held_out if held_out is not None else crc_mod("doc_id", HELD_MODULUS) == HELD_REST
     kind = texts.schema["doc_id"].dataType.simpleString()
-    ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     train = texts.where(~held).select("text")
-    sample = train.limit(HOT_SAMPLE).mapInArrow(lambda it: _frequent(it, HOT_PART), "word long").distinct()
-    hot = np.array([r["word"] for r in sample.limit(HOT_WORDS).collect()], np.int64).view(np.uint64)
-    blocks = train.mapInArrow(lambda it: _count(it, ranges, hot), "range int, kind string, hashes binary, counts binary, owners binary, sizes binary")
-    blocks = blocks.repartition(ranges, "range").sortWithinPartitions("range")
-    built = written(blocks.mapInArrow(lambda it: _build(it, min_pair), "range int, words binary, counts binary, keys binary, levels binary, entries long, tokens long, kinds long, owners binary, masses binary"), "lm-counts")
-    rests = built.mapInArrow(lambda it: _masses(it, ranges), "range int, kind string, hashes binary, values binary").repartition(ranges, "range").sortWithinPartitions("range")
-    rests = written(rests.mapInArrow(_rests, "range int, keys binary, levels binary, entries long"), "lm-rests")
+    rows, nbytes = train.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    ranges = max(1, -(-nbytes // range_bytes))
+    sample = train.sample(min(1.0, HOT_SAMPLE / max(rows, 1)), seed=11).mapInArrow(lambda it: _frequent(it, HOT_PART), "word long")
+    sample = sample.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(HOT_WORDS)
+    hot = Few(np.array([r["word"] for r in sample.collect()], np.int64).view(np.uint64))  # HOT_WORDS rows
+    blocks = train.mapInArrow(lambda it: _count(it, ranges, hot), _COUNTS).repartitionById(ranges, F.col("range")).sortWithinPartitions("range")
+    built = written(blocks.mapInArrow(lambda it: _build(it, min_pair, hot), _BUILT), "lm-counts")
     total, kinds, entries = (x or 0 for x in built.agg(F.sum("tokens"), F.sum("kinds"), F.sum("entries")).first())
-    entries += rests.agg(F.sum("entries")).first()[0] or 0
-    most = int(level(np.array([total]))[0])
+    told = built.select(F.explode("hot").alias("h")).groupBy("h.word").agg(F.sum("h.count").alias("count"), F.sum("h.sum").alias("sum")).where("sum > 0").collect()  # HOT_WORDS rows
+    more = rest_keys(np.array([r["word"] for r in told], np.int64).view(np.uint64)), rest_levels(*(np.array([r[c] for r in told], np.int64) for c in ("count", "sum")))
+    entries += int(more[1].sum())
+    most = int(level(np.array([UNIT * max(total, 1)]))[0]) + 1
     whole = entries * bits / 8 <= max_filter_bytes  # decides on the way only
-
-    def segments_of(levels: DataFrame) -> DataFrame:
-        return levels.mapInArrow(lambda it: _segments(it, bits), "range int, segment binary")
-
-    def bloom_of(levels: DataFrame) -> LogBloom:
-        made = {r["range"]: np.frombuffer(bytes(r["segment"]), np.uint8) for r in segments_of(levels).toLocalIterator()}  # max_filter_bytes for both
-        return LogBloom([made.get(r, np.zeros(0, np.uint8)) for r in range(ranges)] if made else [], most)
-
-    stored = built.select("range", "keys", "levels", "entries")
-    bloom, rest_bloom = (bloom_of(stored), bloom_of(rests)) if whole else (None, None)
+    segments = built.select("range", "keys", "levels").mapInArrow(lambda it: _segments(it, bits, ranges, more), "range int, segment binary")
+    bloom = None
+    if whole:
+        made = {r["range"]: np.frombuffer(bytes(r["segment"]), np.uint64) for r in segments.toLocalIterator()}  # max_filter_bytes
+        bloom = LogBloom([made.pop(r, np.zeros(0, np.uint64)) for r in range(ranges)], most)
     least = 1
     if kinds > head:  # the smallest count whose words, and all more frequent ones, fit the head
         by_level = built.mapInArrow(lambda it: _by_count(it, 1, None), "word long, count long").groupBy(F.floor(F.log2("count")).alias("q")).agg(F.count(F.lit(1)).alias("n"))
@@ -482,9 +516,9 @@ def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col
                 break
             least = 1 << r["q"]
     frequent = built.mapInArrow(lambda it, least=least: _by_count(it, least, None), "word long, count long").toArrow()  # head rows at most
-    model = Model(bloom, rest_bloom, hot, total, kinds, frequent["word"].to_numpy().view(np.uint64), frequent["count"].to_numpy())
+    model = Model(bloom, hot, total, kinds, frequent["word"].to_numpy().view(np.uint64), frequent["count"].to_numpy(), min_pair)
     sent = spark.sparkContext.broadcast(model)
-    del frequent, model, bloom, rest_bloom
+    del frequent, model, bloom
 
     with_rare = least > 1
 
@@ -494,7 +528,7 @@ def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col
             for row, buf, starts, lens in text_blocks(batch.column("text")):
                 toks, begin = tokens(buf, starts, lens)
                 asked = Asked.of(toks, begin, m.hot)
-                levels = Levels.read(m.bloom, m.rests, asked.word, asked.pair, asked.place)
+                levels = Levels.read(m.bloom, asked.word, asked.pair, asked.pair_before)
                 yield m.scored(batch.slice(row, len(starts)), toks, begin, asked, levels, with_rare)
 
     columns = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"
@@ -504,9 +538,8 @@ def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col
     else:
         homes = written(marked.mapInArrow(_homes, "docs binary").withColumn("block", F.monotonically_increasing_id()), "lm-texts")
         asks = homes.mapInArrow(lambda it: _ask(it, ranges, hot), "range int, kind int, block long, one binary, two binary")
-        for k, levels in enumerate((stored, rests)):
-            asks = asks.union(segments_of(levels).select("range", F.lit(k), F.lit(0).cast("long"), "segment", F.lit(b"")))
-        answers = asks.repartition(ranges, "range").sortWithinPartitions("range", "kind").mapInArrow(lambda it: _answer(it, most), "block long, range int, data binary")
+        asks = asks.union(segments.select("range", F.lit(0), F.lit(0).cast("long"), "segment", F.lit(b"")))
+        answers = asks.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "kind").mapInArrow(lambda it: _answer(it, ranges, most), "block long, range int, data binary")
         answers = answers.union(homes.select("block", F.lit(-1), "docs")).repartition(ranges, "block").sortWithinPartitions("block", "range")
         scored = answers.mapInArrow(lambda it: _gather(it, sent, ranges, with_rare), columns)
     if least > 1:  # words beyond the head: their share of the base is added by a join

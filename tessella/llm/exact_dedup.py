@@ -17,8 +17,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,37 +29,38 @@ WHITE = r"[\x20\x09-\x0D]+"
 _RUN = "range int, run long, digest binary, length long, check long, keep_id long, size long"
 
 
+_KEYS = ["range", "run", "digest", "length", "check"]
+_SCHEMA = pa.schema([("range", pa.int32()), ("run", pa.int64()), ("digest", pa.binary()), ("length", pa.int64()), ("check", pa.int64()), ("keep_id", pa.int64()), ("size", pa.int64())])
+_MOST = np.iinfo(np.int64).max
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (range, run, digest, length, check): merge equal neighbours, across batches as well."""
-    keys = ["range", "run", "digest", "length", "check"]
+    """Rows come sorted by (range, run, digest, length, check): merge equal neighbours, across batches as well.
+
+    Ids stay 64-bit integers; whether one is null is told by a mask beside them.
+    """
     carry = None
     for batch in batches:
-        rows = batch.to_pandas()
-        if carry is not None:
-            rows = pd.concat([carry, rows], ignore_index=True)
-        if rows.empty:
+        rows = pa.Table.from_batches([batch]).cast(_SCHEMA)
+        rows = (rows if carry is None else pa.concat_tables([carry, rows])).combine_chunks()
+        n = rows.num_rows
+        if not n:
             continue
-        new = np.zeros(len(rows), bool)
+        new = np.zeros(n, bool)
         new[0] = True
-        for key in keys:  # the digest finds a text, length and check verify it
-            column = rows[key].to_numpy()
-            new[1:] |= column[1:] != column[:-1]
+        for key in _KEYS:  # the digest finds a text, length and check verify it
+            column = rows[key].combine_chunks()
+            new[1:] |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
         begin = np.flatnonzero(new)
-        out = rows.iloc[begin][keys].reset_index(drop=True)
-        ids = rows["keep_id"].astype("Int64")
-        biggest = np.iinfo(np.int64).max
-        least = np.minimum.reduceat(ids.fillna(biggest).to_numpy(np.int64), begin)
-        some = np.logical_or.reduceat(ids.notna().to_numpy(), begin)
-        out["keep_id"] = pd.Series(least, dtype="Int64").where(pd.Series(some))
-        out["size"] = np.add.reduceat(rows["size"].to_numpy(np.int64), begin)
-        carry = out.iloc[-1:].copy()
-        yield pa.RecordBatch.from_pandas(out.iloc[:-1], schema=_schema(), preserve_index=False)
+        null = rows["keep_id"].combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        ids = pc.fill_null(rows["keep_id"].combine_chunks(), _MOST).to_numpy(zero_copy_only=False)
+        least = pa.array(np.minimum.reduceat(ids, begin), mask=np.logical_and.reduceat(null, begin))
+        out = rows.take(pa.array(begin))
+        out = out.set_column(5, _SCHEMA.field("keep_id"), least).set_column(6, _SCHEMA.field("size"), pa.array(np.add.reduceat(rows["size"].to_numpy(), begin)))
+        carry = out.slice(out.num_rows - 1)
+        yield from out.slice(0, out.num_rows - 1).to_batches()
     if carry is not None:
-        yield pa.RecordBatch.from_pandas(carry, schema=_schema(), preserve_index=False)
-
-
-def _schema() -> pa.Schema:
-    return pa.schema([("range", pa.int32()), ("run", pa.int64()), ("digest", pa.binary()), ("length", pa.int64()), ("check", pa.int64()), ("keep_id", pa.int64()), ("size", pa.int64())])
+        yield from carry.to_batches()
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:

@@ -10,8 +10,8 @@ among those of its length comes from counts by partition of the written piece ta
 task gathers all pieces of a common length.
 
 Token ids: the vocabulary is a byte-level BPE file of the tokenizers library. Its ranks are its ids, so tiktoken's
-encoder computes the same ids several times faster; files of another kind go through tokenizers itself. Strings of
-special tokens in a text are ordinary text.
+encoder computes the same ids several times faster; files of another kind go through tokenizers itself. A string of a
+special token in a text becomes that token's id, as tokenizers does by default.
 
 Defined results: null and empty texts are one piece that holds the end id only; null and repeated ids are rows like
 any other; an empty table gives an empty table.
@@ -52,19 +52,20 @@ def encoder(file: str):
     plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
     if plain:
         byte_of = _byte_of()
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        special = {t["content"]: t["id"] for t in added}
+        bare = not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip"))  # these take what is around them
         ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         made = [model["vocab"][a + b] for a, b in merges]
-        if made == sorted(made):  # merges are tried in the order of the ids they make
+        if bare and made == sorted(made):  # merges are tried in the order of the ids they make
             import tiktoken
 
-            enc = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            return lambda texts: [enc.encode_ordinary(t) for t in texts]
+            enc = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+            return lambda texts: [enc.encode(t, allowed_special="all") for t in texts]
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(file)
-    tokenizer.encode_special_tokens = True
     return lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 

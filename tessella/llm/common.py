@@ -4,24 +4,32 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 21
 ROW_OVERHEAD = 64
+LONG_SPAN = 128
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _written: list[str] = []
 
 
+@lru_cache(maxsize=1)
 def _frugal() -> None:
-    """Give freed memory back: workers live on between tasks, and arrays of a block would stay in the allocator."""
+    """Give freed memory back: workers live on between tasks, and arrays of a block would stay in the allocator. In workers only."""
+    if TaskContext.get() is None:
+        return
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):  # glibc
         for option in (-1, -3):  # trim and mmap thresholds: fixed, as they would grow to 32 MB
@@ -29,9 +37,6 @@ def _frugal() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
 
 
-_frugal()
-
-
 def _small_batches(spark: SparkSession) -> None:
     """Texts are long: at Spark's 10,000 rows or 64 MB an Arrow batch would take much memory. Settings that someone made stay."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
@@ -52,9 +57,11 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one made here (local use only)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode one is made where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -147,6 +154,7 @@ def span_hash(p: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, bytes, starts, lengths) for runs of rows of about limit bytes; null counts as empty."""
+    _frugal()
     column = pc.fill_null(column, "").cast(pa.large_binary())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -183,7 +191,19 @@ def word_spans(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, is_word: n
 def word_hashes(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word after lower-casing A-Z, first word of each document with the total at the end)."""
     s, e, first = word_spans(buf, starts, lens, is_word)
-    return span_hash(prefix_hash(BYTE_CODE[LOWER[buf]]), s, e), first
+    low = LOWER[buf]
+    return strong(low, s, e, span_hash(prefix_hash(BYTE_CODE[low]), s, e)), first
+
+
+def strong(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Hashes of another kind for long spans: a polynomial modulo 2^64 is blind to some of them, whatever its base.
+
+    Words of the Thue-Morse sequence and their complements are of that kind, from 1,024 letters on.
+    """
+    long = np.flatnonzero(ends - starts >= LONG_SPAN)
+    if len(long):
+        hashes[long] = [xxhash.xxh3_64_intdigest(values[a:b].tobytes()) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return hashes
 
 
 def gram_hashes(words: np.ndarray, first: np.ndarray, n: int, whole_if_short: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +218,8 @@ def gram_hashes(words: np.ndarray, first: np.ndarray, n: int, whole_if_short: bo
     begin = np.append(0, np.cumsum(grams))
     doc = np.repeat(np.arange(len(counts)), grams)
     at = first[:-1][doc] + (np.arange(begin[-1]) - begin[:-1][doc])
-    return span_hash(prefix_hash(words), at, at + np.where(short[doc], counts[doc], n)), begin
+    end = at + np.where(short[doc], counts[doc], n)
+    return strong(words, at, end, span_hash(prefix_hash(words), at, end)), begin
 
 
 def crc_mod(column: str, modulus: int):

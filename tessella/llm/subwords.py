@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import ALNUM, BYTE_CODE, LOWER, gram_hashes, prefix_hash, span_hash, word_spans
+from .common import ALNUM, BYTE_CODE, LOWER, gram_hashes, prefix_hash, span_hash, strong, word_spans
 
 #: Letters only: ASCII letters and all of non-ASCII.
 LETTERS = ALNUM.copy()
@@ -15,7 +15,7 @@ def distinct_words(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, is_wor
     """(bytes of the distinct words one after the other, where each begins with the total at the end, index of each word of the documents, first word of each document with the total at the end, hashes of the distinct words)."""
     low = LOWER[buf]
     s, e, first = word_spans(buf, starts, lens, is_word)
-    hashes = span_hash(prefix_hash(BYTE_CODE[low]), s, e)
+    hashes = strong(low, s, e, span_hash(prefix_hash(BYTE_CODE[low]), s, e))
     kinds, at, back = np.unique(hashes, return_index=True, return_inverse=True)
     size = (e - s)[at]
     begin = np.append(0, np.cumsum(size))

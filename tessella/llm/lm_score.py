@@ -44,7 +44,7 @@ MIN_PAIR, LEVEL_BASE = 2, 2**0.25
 #: Counts and what is made of them are kept in quarters, in which the discount is whole.
 UNIT, DISCOUNT = 4, 3
 BITS, HEAD, MAX_FILTER_BYTES = 14, 1_000_000, 256 << 20
-FLUSH_TOKENS, RANGE_BYTES = 2_000_000, 24 << 20
+FLUSH_TOKENS, RANGE_BYTES = 2_000_000, 16 << 20
 HOT_SAMPLE, HOT_PART, HOT_WORDS = 2000, 0.002, 1000
 END = np.uint64(0x656E640000000001)
 _PAIR, _REST = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9FB21C651E98DF25)
@@ -149,10 +149,13 @@ def _count(batches: Iterator[pa.RecordBatch], ranges: int, hot: Few) -> Iterator
 
     def flush():
         toks, before = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         yield from send("w", *np.unique(toks, return_counts=True), None)
         pairs = pair_keys(before, toks, hot.of(before))
+        del toks
         order = np.argsort(pairs)
         pairs, before = pairs[order], before[order]
+        del order
         begin = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
         yield from send("p", pairs[begin], np.diff(np.append(begin, len(pairs))), before[begin])
 
@@ -175,7 +178,7 @@ def _count(batches: Iterator[pa.RecordBatch], ranges: int, hot: Few) -> Iterator
             n += len(toks)
             if n >= FLUSH_TOKENS:
                 yield from flush()
-                held, n = [], 0
+                n = 0
     if n:
         yield from flush()
 

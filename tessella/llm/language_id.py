@@ -8,10 +8,13 @@ say how many of its words are in each language. The text's language is that of m
 Forward-backward runs in lockstep over all texts of a block, longest first, so a step is a few NumPy operations.
 
 Training uses at most `per_lang` labelled texts of each language, those with the smallest hash of their id and text,
-first of the texts of TRAIN_BYTES bytes or fewer. Where a language has too few of these, longer ones follow in the same
-order, each by its first words, as many as TRAIN_BYTES bytes hold (of a longer word, its beginning); what is not in words
-takes no room. So every language with a text that has words is learned, the MAX_LANGS most frequent if there are more.
-This bounded sample is the only thing that is sampled.
+first of the texts of `train_bytes` bytes or fewer. Where a language has too few of these, longer ones follow in the same
+order, each by its first words, as many as train_bytes bytes hold (of a longer word, its beginning); what is not in words
+takes no room. So every language with a text that has words is learned, the `max_langs` most frequent if there are more:
+a parameter that bounds the model. This bounded sample is the only thing that is sampled. It is chosen in one pass over
+keys, of which a partition sends per_lang for each language, and fetched in a second. As labels are of whole texts, one
+chain in four is made of short runs of words from texts of several languages, so that transitions between languages
+are learned too.
 
 Defined results: texts that are null or have no letter get `und` and score 0; so does every text if nothing can be
 learned; languages are the distinct labels seen in training; null ids hash like the empty text; repeated rows get a
@@ -25,14 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, pick, text_blocks
+from .common import crc_mod, pick, text_blocks, written
 from .subwords import Adam, affixes, distinct_words, subwords
 
 HELD_MODULUS, HELD_REST = 4, 2
-PER_LANG, TRAIN_BYTES, MAX_LANGS = 200, 4000, 1000
+PER_LANG, TRAIN_BYTES, MAX_LANGS, SWITCHED = 200, 4000, 1000, 0.25
 BUCKETS, STEPS, RATE, DECAY = 1 << 16, 40, 0.1, 1e-5
 GRAMS, AFFIXES = (2, 3), (1, 2, 3, 4)
 BLOCK_BYTES = 3 << 20
@@ -99,7 +102,8 @@ class Crf:
             alpha[at] = p  # alpha at a step is not needed below it
         return alpha, log_z, expected
 
-    def fit(self, texts: list[str], labels: np.ndarray) -> Crf:
+    def fit(self, texts: list[str], y: np.ndarray) -> Crf:
+        """y: the language of each word of the texts, in order."""
         _, buf, starts, lens = next(iter(text_blocks(pa.array(texts), 1 << 40)))
         data, begin, back, first, _ = distinct_words(buf, starts, lens)
         feature, word = features(data, begin)
@@ -107,11 +111,13 @@ class Crf:
         size = np.maximum(np.bincount(word, minlength=kinds), 1)
         used, where = np.unique(feature, return_inverse=True)
         w = self.weights[used]
-        y = np.repeat(labels, np.diff(first))
         gold = np.zeros((kinds, k))
         np.add.at(gold, (back, y), 1)
-        same = np.diff(first).clip(1) - 1
-        gold_t = np.diag(np.bincount(labels, weights=same, minlength=k).astype(float)) + 0.5
+        follows = np.ones(len(y), bool)
+        follows[first[:-1][np.diff(first) > 0]] = False
+        follows = np.flatnonzero(follows)
+        gold_t = np.full((k, k), 0.5)
+        np.add.at(gold_t, (y[follows - 1], y[follows]), 1)
         adam = Adam(w, self.transitions, rate=RATE)
         total = max(len(back), 1)
         for _ in range(STEPS):
@@ -155,36 +161,58 @@ def first_words(text: str, most: int = TRAIN_BYTES) -> str:
     return b" ".join(out).decode("utf-8", "ignore")
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spans(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(lang, turn, doc_id, text): of long texts their first words."""
     for batch in batches:
-        spans = pa.array([first_words(t.as_py()) for t in batch.column("text")], pa.string())
-        yield pa.RecordBatch.from_arrays([spans if c == "text" else batch.column(c) for c in batch.schema.names], batch.schema.names)
-
-
-def identify(docs: DataFrame, held_out=None, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+        texts = [first_words(t, most) if long else t for t, long in zip(batch.column("text").to_pylist(), batch.column("long").to_pylist(), strict=True)]
+        names = ["lang", "turn", "doc_id"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, "text"])
+
+
+def chains(texts: list[str], labels: list[int], switched: float = SWITCHED, seed: int = 3) -> tuple[list[str], np.ndarray]:
+    """The texts and, for a part of them, mixtures: 3 to 10 runs of 3 to 12 words, each of any text; and the label of each word."""
+    words = [_WORDS.findall(t.encode()) for t in texts]
+    y = [np.full(len(w), k) for w, k in zip(words, labels, strict=True)]
+    rng, full, out = np.random.default_rng(seed), [i for i, w in enumerate(words) if w], list(texts)
+    by_label = [[i for i in full if labels[i] == k] for k in sorted({labels[i] for i in full})]
+    for _ in range(int(switched * len(full)) if len(by_label) > 1 else 0):
+        runs = []
+        for _ in range(int(rng.integers(3, 11))):
+            own = by_label[rng.integers(len(by_label))]
+            i = own[rng.integers(len(own))]
+            at, n = int(rng.integers(len(words[i]))), int(rng.integers(3, 13))
+            runs.append((words[i][at : at + n], labels[i]))
+        out.append(b" ".join(w for run, _ in runs for w in run).decode("utf-8", "replace"))
+        y.append(np.repeat([k for _, k in runs], [len(run) for run, _ in runs]))
+    return out, np.concatenate(y) if y else np.zeros(0, np.int64)
+
+
+def _sample(train: DataFrame, per_lang: int, train_bytes: int, max_langs: int) -> list:
+    """(lang, text) of the texts to learn from; train: doc_id, text, lang."""
+    langs = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
+    wordy = train.where(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]")).join(F.broadcast(langs), "lang").withColumns({"long": F.octet_length("text") > train_bytes, "turn": F.xxhash64("doc_id", "text")})
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "turn", "doc_id"))  # partitions rank their own rows first
+    chosen = wordy.select("lang", "long", "turn", "doc_id").withColumn("rank", rank).where(F.col("rank") <= per_lang)
+    chosen = written(chosen.select("lang", "turn", F.col("doc_id").alias("chosen_id")).distinct(), "language-sample")
+    found = wordy.join(F.broadcast(chosen), ["lang", "turn"]).where(F.col("doc_id").eqNullSafe(F.col("chosen_id"))).select("lang", "turn", "doc_id", "long", "text")  # per_lang x max_langs rows
+    kind = train.schema["doc_id"].dataType.simpleString()
+    texts = found.mapInArrow(lambda it: _spans(it, train_bytes), f"lang string, turn long, doc_id {kind}, text string").dropDuplicates(["lang", "turn", "doc_id"])
+    return sorted((r["lang"], r["text"]) for r in texts.collect())  # per_lang texts of train_bytes for each language
+
+
+def identify(
+    docs: DataFrame, held_out=None, per_lang: int = PER_LANG, train_bytes: int = TRAIN_BYTES, max_langs: int = MAX_LANGS,
+    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+) -> DataFrame:
     """One row per row of docs: id, held_out, lang_pred, score. held_out: a condition on doc_id whose rows are not learned from."""
     spark = docs.sparkSession
     texts = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
     held = held_out if held_out is not None else crc_mod("doc_id", HELD_MODULUS) == HELD_REST
-    train = texts.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    short = F.octet_length("text") <= TRAIN_BYTES
-    langs = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(short).alias("short")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    sample = None
-    turn = [F.xxhash64("doc_id", "text"), F.col("doc_id")]
-    for lang, n, fit in langs:
-        own = train.where(F.col("lang") == lang).select("doc_id", "text", "lang")
-        parts = [own.where(short).orderBy(*turn).limit(per_lang).select("lang", "text")]
-        if fit < min(n, per_lang):
-            longer = own.where(~short).withColumn("turn", turn[0])
-            longer = longer.mapInArrow(_spans, longer.schema).where("text <> ''").orderBy("turn", "doc_id").limit(per_lang - fit)
-            parts.append(longer.select("lang", "text"))
-        for part in parts:
-            sample = part if sample is None else sample.union(part)
+    rows = _sample(texts.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull()), per_lang, train_bytes, max_langs)
     model = None
-    rows = sorted(sample.collect()) if sample is not None else []  # per_lang texts of TRAIN_BYTES for each language
     if rows:
-        langs = sorted({r["lang"] for r in rows})
-        model = Crf(langs).fit([r["text"] for r in rows], np.array([langs.index(r["lang"]) for r in rows]))
+        langs = sorted({lang for lang, _ in rows})
+        model = Crf(langs).fit(*chains([t for _, t in rows], [langs.index(lang) for lang, _ in rows]))
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,17 +1,19 @@
 """Sharding by a k-d tree whose cuts are distributed weighted medians; DataFrame functions only.
 
 The points are rows of metadata (size, language, source, id), their weights are bytes. All nodes of a level are cut
-together: one aggregation finds each node's spread along every dimension, relative to the whole table's; the widest
+together: one aggregation finds each node's spread along every dimension, as a part of the whole table's; the widest
 is cut where the bytes to its left are to those to its right as the leaves there are. The cut is found by
 histograms of BINS cells, each narrowing the search to the cell that holds it, so the driver sees at most
 leaves x BINS sums however many rows there are. A coordinate carries a hash of the row in its low bits: a value that
-a third of all rows share can still be cut, and hot sources or groups of equal texts do not make a shard heavy.
+a third of all rows share can still be cut, and hot sources or groups of equal texts do not make a shard heavy. The
+low bits say nothing of a spread: a dimension in which a node is constant is cut only if all are.
 Leaves are cut until each stands for the target bytes (all bytes / shards), so the law is `bytes`.
 
 Slots are ranks within a shard: counted over many small cells of each shard, whose first slots follow from sums.
 
 Defined results: a null text has no bytes (size 8) and crc32 0; null ids, languages and sources are points like any
-other; rows equal in every column share all coordinates and stay together; an empty table gives an empty table.
+other; rows equal in every column differ in the lowest bits only, by where they are stored, and may be cut apart; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import pick, written
 
-BINS = 512
+BINS = 4096
 DIMS = 4
-LOW_BITS = 30
+#: Bits of a row's hash, and below them bits of its place, for repeated rows.
+LOW_BITS, PLACE_BITS = 30, 8
 #: A cell that holds less than this part of a shard is cut no finer.
 TOLERANCE = 1 / 4096
 
@@ -48,8 +51,12 @@ def _cut_points(points: DataFrame, jobs: dict[int, dict]) -> dict[int, int]:
     while state:
         for s in state.values():
             s["step"] = max(1, -(-(s["high"] - s["low"]) // BINS))
-        search = _table(spark, [(n, s["dim"], s["low"], s["step"]) for n, s in state.items()], "node int, dim int, low long, step long")
-        cells = points.join(F.broadcast(search), "node").withColumn("at", F.element_at("coords", F.col("dim") + 1) - F.col("low"))
+        if list(jobs) == [0]:  # the root is all of the table
+            s = state[0]
+            asked = points.withColumns({"dim": F.lit(s["dim"]), "low": F.lit(s["low"]), "step": F.lit(s["step"])})
+        else:
+            asked = points.join(F.broadcast(_table(spark, [(n, s["dim"], s["low"], s["step"]) for n, s in state.items()], "node int, dim int, low long, step long")), "node")
+        cells = asked.withColumn("at", F.element_at("coords", F.col("dim") + 1) - F.col("low"))
         cells = cells.where(F.col("at") >= 0).select("node", "size", F.expr("at div step").alias("cell")).where(F.col("cell") < BINS)
         sums: dict[int, dict[int, int]] = {n: {} for n in state}
         for r in cells.groupBy("node", "cell").agg(F.sum("size").alias("bytes")).collect():  # at most nodes x BINS rows
@@ -80,8 +87,9 @@ def kd_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_co
         "doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         F.crc32(F.coalesce("lang", F.lit("")).cast("binary")).alias("lang"), F.crc32(F.coalesce("source", F.lit("")).cast("binary")).alias("source"),
     )
-    points = points.withColumn("tie", F.xxhash64("doc_id", "size", "text_crc32", "lang", "source").bitwiseAND((1 << LOW_BITS) - 1))
-    points = written(points, "shard-points")
+    place = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND((1 << PLACE_BITS) - 1)
+    content = F.xxhash64("doc_id", "size", "text_crc32", "lang", "source").bitwiseAND((1 << LOW_BITS) - (1 << PLACE_BITS))
+    points = written(points.withColumn("tie", content.bitwiseOR(place)), "shard-points")
     bounds = points.agg(F.min("doc_id"), F.max("doc_id"), F.sum("size"), F.count(F.lit(1))).first()
     id_shift = max(0, (bounds[1] - bounds[0]).bit_length() - 32) if bounds[0] is not None else 0
     order = F.coalesce(F.shiftright(F.col("doc_id") - F.lit(bounds[0] or 0).cast("long"), id_shift), F.lit(0))
@@ -91,7 +99,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_co
     tolerance = int(total / shards * TOLERANCE)
     leaves, whole = {0: (0, shards)}, None  # node: its first shard and how many it stands for
     while total and (open_ := {n: v for n, v in leaves.items() if v[1] > 1}):
-        spread = points.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(F.col("coords")[i]).alias(f"{p}{i}") for i in range(DIMS) for f, p in ((F.min, "low"), (F.max, "high"))])
+        spread = points.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(F.shiftright(F.col("coords")[i], LOW_BITS)).alias(f"{p}{i}") for i in range(DIMS) for f, p in ((F.min, "low"), (F.max, "high"))])
         found = {r["node"]: r for r in spread.collect()}  # a row for each node
         whole = whole or [max(1, found[0][f"high{i}"] - found[0][f"low{i}"]) for i in range(DIMS)]
         jobs, after = {}, {n: v for n, v in leaves.items() if v[1] == 1}
@@ -99,11 +107,15 @@ def kd_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_co
             after[2 * n + 1], after[2 * n + 2] = (first, k // 2), (first + k // 2, k - k // 2)
             if r := found.get(n):
                 widest = max(range(DIMS), key=lambda i: (r[f"high{i}"] - r[f"low{i}"]) / whole[i])
-                jobs[n] = {"dim": widest, "low": r[f"low{widest}"], "high": r[f"high{widest}"], "want": r["bytes"] * (k // 2) // k, "tolerance": tolerance}
-        cuts = _table(spark, [(n, jobs[n]["dim"], c) for n, c in _cut_points(points, jobs).items()], "node int, dim int, cut long")
-        right = (F.element_at("coords", F.col("dim") + 1) >= F.col("cut")).cast("int")
-        points = points.join(F.broadcast(cuts), "node", "left").select(
-            "doc_id", "size", "text_crc32", "coords", F.when(F.col("cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + 1 + right).alias("node"))
+                jobs[n] = {"dim": widest, "low": r[f"low{widest}"] << LOW_BITS, "high": (r[f"high{widest}"] + 1 << LOW_BITS) - 1, "want": r["bytes"] * (k // 2) // k, "tolerance": tolerance}
+        cuts = _cut_points(points, jobs)
+        if list(jobs) == [0]:
+            points = points.withColumn("node", F.when(F.col("coords")[jobs[0]["dim"]] >= cuts[0], 2).otherwise(1))
+        else:
+            table = _table(spark, [(n, jobs[n]["dim"], c) for n, c in cuts.items()], "node int, dim int, cut long")
+            right = (F.element_at("coords", F.col("dim") + 1) >= F.col("cut")).cast("int")
+            points = points.join(F.broadcast(table), "node", "left").select(
+                "doc_id", "size", "text_crc32", "coords", F.when(F.col("cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + 1 + right).alias("node"))
         leaves = after
     places = _table(spark, [(n, first) for n, (first, _) in leaves.items()], "node int, shard int")
     points = points.join(F.broadcast(places), "node")

@@ -41,6 +41,8 @@ SEED_ROWS, BROADCAST_BYTES = 1_500_000, 48 << 20
 SPREAD_CLASSES, PLACES = 20_000, 16
 LANES = 4096
 RUN_WINDOWS = 500_000
+#: Windows that meet in one merge, on average.
+PART_WINDOWS = 1_000_000
 _POS = np.uint64((1 << 24) - 1)
 
 
@@ -351,7 +353,6 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
     """One row per row of docs: id, n_bytes, removed (spans of bytes), kept_sha256, kept (the bytes that stay, if keep_text)."""
     spark = docs.sparkSession
     seed = min(SEED, max(8, size // 3))
-    parts = max(32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))  # each is held as a whole while it is merged
     texts = pick(docs, doc_id=id_col, text=text_col).withColumn("text_key", F.xxhash64("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     scanned = texts.where(F.octet_length("text") >= size).mapInArrow(lambda it: _scan(it, size, seed), _RUNS.format(kind))
@@ -369,13 +370,15 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text
     spread = written(classes.groupBy("seed").agg(wide.alias("spread")).where("spread > 0"), "suffix-spread")  # very common seeds only
     asked = classes.join(broadcast_if_small(spread, SEED_ROWS), "seed", "left").select("at.*", "n", F.coalesce("spread", F.lit(0)).alias("spread"), F.monotonically_increasing_id().alias("number"))
     asked = written(asked.withColumn("number", F.when(F.col("n") == 1, F.col("number")).otherwise(-1 - F.col("number"))), "suffix-asked")
+    windows = asked.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
+    parts = max(1, -(-windows // PART_WINDOWS))  # each is held as a whole while it is merged
     packed = F.struct("number", _asked(F.col("first"), F.col("windows"), F.col("anchor"), F.col("spread")).alias("asked"))
     by_doc = asked.groupBy(F.col("doc_id").alias("asked_id"), F.col("text_key").alias("asked_key")).agg(F.collect_list(packed).alias("all"))
     by_doc = written(by_doc.select("asked_id", "asked_key", F.col("all.number").alias("numbers"), F.col("all.asked").alias("asked")), "suffix-asked-docs")
     # Repeated rows are equal: whichever of them shows the windows, and if all do, no more than they already lose is found.
     wanted = texts.join(broadcast_if_light(by_doc, 16 * F.size("asked"), BROADCAST_BYTES), F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("text_key") == F.col("asked_key")))
     runs = wanted.select("text", "numbers", "asked").mapInArrow(lambda it: _suffix_runs(it, size, seed, parts), _SUFFIXES)
-    merged = runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_combine, "number long, first_window long, windows int")
+    merged = runs.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_combine, "number long, first_window long, windows int")
     merged = merged.select("number", "first_window", F.col("windows").alias("found"))
     partly = merged.join(asked.where("n = 1"), "number").select("doc_id", "text_key", (F.col("first") + F.col("first_window")).alias("first"), F.col("found").alias("windows"))
     spans = plain.unionByName(copied).unionByName(partly)

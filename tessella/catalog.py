@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import integers as I  # noqa: E741
-from .functions.views import Bounds, LeftToRight, RightToLeft, Strided, View
+from .functions.views import FACTORIES, Bounds, LeftToRight, RightToLeft, Strided, View
 from .operators.arrays import Array, copy_array, fill_value, verify_all
 from .operators.arrays import vector_add as add_kernel
-from .plans.runtime import Host, Runtime, write
+from .plans.events import BlockId, EventId
+from .plans.runtime import Frames, Host, Runtime, Submission, write
 from .sources.tables import read_array, read_vectors
 
 _QUERIES: dict = {}
@@ -262,7 +265,7 @@ def _told(spark: SparkSession, **values: bool) -> DataFrame:
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
 
 
-@_query(None)
+@_query("SELECT true AS raised, true AS same")
 def poison(spark: SparkSession, sf: str) -> DataFrame:
     """A failing task: waiting is silent, reading it or what was made from it raises the same error."""
     rt = Runtime(spark)
@@ -283,7 +286,7 @@ def poison(spark: SparkSession, sf: str) -> DataFrame:
     return _told(spark, raised=len(raised) == 2, same=raised[0] is raised[1])
 
 
-@_query(None)
+@_query("SELECT true AS kept")
 def prefetch(spark: SparkSession, sf: str) -> DataFrame:
     rt = Runtime(spark)
     a = _column(rt, sf, "orders", "o_orderkey", "o_totalprice")
@@ -293,7 +296,7 @@ def prefetch(spark: SparkSession, sf: str) -> DataFrame:
     return _told(spark, kept=kept)
 
 
-@_query(None)
+@_query("SELECT true AS done")
 def barrier(spark: SparkSession, sf: str) -> DataFrame:
     rt = Runtime(spark)
     a = _column(rt, sf, "orders", "o_orderkey", "o_totalprice")
@@ -303,7 +306,7 @@ def barrier(spark: SparkSession, sf: str) -> DataFrame:
     return _told(spark, done=rt.is_done(event))
 
 
-@_query(None)
+@_query("SELECT true AS dropped")
 def delete(spark: SparkSession, sf: str) -> DataFrame:
     rt = Runtime(spark)
     a = _column(rt, sf, "orders", "o_orderkey", "o_totalprice")
@@ -314,6 +317,68 @@ def delete(spark: SparkSession, sf: str) -> DataFrame:
     return _told(spark, dropped=not frame.storageLevel.useMemory)
 
 
+@_query("SELECT r AS round, true AS ok FROM range(20) t(r)")
+def rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty rounds of fill, add and verify, five of them open at a time."""
+    rt = Runtime(spark)
+    n = spark.read.parquet(f"{sf}/orders.parquet").count()
+    checks: list[Array] = []
+
+    def one(k: int) -> EventId:
+        a, b, c, ok = (rt.declare(n, dtype="float32") for _ in range(4))
+        rt.submit(Host(), lambda: (F.lit(1.0), F.lit(float(k))), write(a), write(b))
+        rt.submit(Host(), add_kernel, a, b, write(c))
+        rt.submit(Frames(), lambda f: f.agg(F.bool_and(F.abs(F.col("v") - 1 - k) <= 1e-9).alias("ok")).select(F.lit(k).cast("bigint").alias("round"), "ok"), c, write(ok))
+        checks.append(ok)
+        return ok.prefetch()
+
+    rt.rounds(20, one)
+    return reduce(DataFrame.unionByName, [x.frame() for x in checks])
+
+
+@_query("SELECT p_partkey AS i, CAST(p_size + p_retailprice AS DOUBLE) AS v FROM part")
+def explicit_task(spark: SparkSession, sf: str) -> DataFrame:
+    """A task that lists its inputs and outputs itself; a callback learns of the event before submit returns."""
+    rt = Runtime(spark)
+    a, b = _column(rt, sf, "part", "p_partkey", "p_size"), _column(rt, sf, "part", "p_partkey", "p_retailprice")
+    task, seen = Submission(rt), []
+    task.add_input(a.block()), task.add_input(b.block()), task.add_output()
+    task.after_submission(seen.append)
+    x, y = a.block(), b.block()
+    event = task.submit(lambda f: [f[x].alias("x").join(f[y].alias("y"), "i").select("i", (F.col("x.v") + F.col("y.v")).cast("double").alias("v"))])
+    assert seen == [event]
+    return rt.frame(BlockId(event))
+
+
+@_query("SELECT vec_id * 64 + j AS i, CASE WHEN vec_id BETWEEN 10 AND 19 AND j BETWEEN 8 AND 15 THEN -embedding[j + 1] ELSE embedding[j + 1] END AS v FROM embeddings, range(64) r(j)")
+def view_put(spark: SparkSession, sf: str) -> DataFrame:
+    """A writable window: its elements change sign."""
+    a = _vectors(Runtime(spark), sf)
+    return FACTORIES["view_mut"](a.frame(), a.sizes()).sub((10, 8), (10, 8)).put(-F.col("v"))
+
+
+def _raises(frame: DataFrame, column: Column) -> Column:
+    """Whether a run over the table ends in the error of a range."""
+    try:
+        frame.select(column.alias("x")).agg(F.max("x")).collect()
+    except Exception as e:
+        return F.lit(any(s in str(e) for s in ("OVERFLOW", "overflow", "out of range")))
+    return F.lit(False)
+
+
+@_query("SELECT true AS added, true AS multiplied, true AS summed, true AS product, true AS narrowed, true AS indexed, false AS fitting")
+def overflow(spark: SparkSession, sf: str) -> DataFrame:
+    """Checked arithmetic on rows that go out of range, and on rows that just fit."""
+    key = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("k"), F.lit((1 << 63) - 1).alias("top"))
+    one = F.col("k") * 0 + 1
+    return spark.range(1).select(
+        _raises(key, I.checked_add(F.col("top"), one)).alias("added"), _raises(key, I.checked_mul(F.col("top"), one + 1)).alias("multiplied"),
+        _raises(key, I.checked_sum(F.array("top", one, -one))).alias("summed"), _raises(key, I.checked_product(F.array("top", one + 1))).alias("product"),
+        _raises(key, I.checked_cast(F.col("k") + (1 << 31), "int32")).alias("narrowed"), _raises(key, I.checked_index(F.col("k"), F.lit(7))).alias("indexed"),
+        _raises(key, I.checked_add(F.col("top") - 1, one)).alias("fitting"),
+    )
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

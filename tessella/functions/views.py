@@ -130,6 +130,27 @@ class LeftToRight(Strided):
         return LeftToRight(self.domain.remove_axis(last)) if axis == last else super().remove_axis(axis)
 
 
+def convert_domain(domain: Subbounds, to: type[Subbounds]) -> Subbounds:
+    """To the same kind, from constants to Bounds, from any to Subbounds; else an error, as offsets would be lost."""
+    if type(domain) is to:
+        return domain
+    if to is Subbounds:
+        return domain.to_subbounds()
+    if to is Bounds and isinstance(domain, Bounds):
+        return Bounds(*domain.sizes)
+    raise TypeError(f"{type(domain).__name__} does not convert to {to.__name__}")
+
+
+def convert_layout(layout: Strided, to: type[Strided], domain: type[Subbounds] | None = None) -> Strided:
+    """To a strided layout from any, to an order of axes from the same order only; the domain is converted with it."""
+    new = layout.domain if domain is None else convert_domain(layout.domain, domain)
+    if to is Strided:
+        return Strided(new, layout.strides)
+    if type(layout) is to and to in (RightToLeft, LeftToRight):
+        return to(new)
+    raise TypeError(f"{type(layout).__name__} does not convert to {to.__name__}")
+
+
 MAPPINGS = {"right_to_left": RightToLeft, "left_to_right": LeftToRight, "strided": Strided}
 
 
@@ -221,6 +242,16 @@ class View:
     def read_only(self) -> View:
         return View(self.layout, self.frame, self.base, False)
 
+    def put(self, value: Any) -> DataFrame:
+        """The whole frame with this view's elements replaced: value may be a column of i and v. For writable views."""
+        if not self.writable:
+            raise TypeError("the view is read-only")
+        _, inside = self.coordinates()
+        span = self.layout.required_span()
+        here = inside & F.col("i").between(self.base, self.base + span - 1) if span else F.lit(False)
+        value = value if isinstance(value, Column) else F.lit(value)
+        return self.frame.select("i", F.when(here, value.cast(self.frame.schema["v"].dataType)).otherwise(F.col("v")).alias("v"))
+
     def coordinates(self) -> tuple[list[Column], Column]:
         """(a column for each axis, whether the element belongs to the view) from the frame's i."""
         rest = F.col("i") - self.base
@@ -242,3 +273,26 @@ class View:
         at = RightToLeft(self.layout.domain).linearize(tuple(columns)) if columns else F.lit(0)
         near = self.frame.where(F.col("i").between(self.base, self.base + span - 1)) if span else self.frame.limit(0)
         return near.where(inside).select(F.lit(at).cast("bigint").alias("i") if isinstance(at, int) else at.cast("bigint").alias("i"), "v")
+
+
+def _factory(name: str, device: bool, strided: bool, part: bool, writable: bool):
+    def make(frame: DataFrame | None, shape: tuple[int, ...], mapping: str = "right_to_left", strides: tuple[int, ...] | None = None, offsets: tuple[int, ...] | None = None) -> View:
+        layout = View.of(shape, frame, "strided" if strides is not None else mapping, strides).layout
+        domain = Subbounds(tuple(offsets or (0,) * len(shape)), tuple(shape)) if part else layout.domain
+        if strided or part:
+            layout = Strided(domain, layout.strides)
+        return View(layout, frame, 0, writable)
+
+    make.__name__ = make.__qualname__ = name
+    kind = f"{'strided ' if strided else ''}view{' with offsets' if part else ''}"
+    make.__doc__ = f"A {'writable' if writable else 'read-only'} {kind}{'; the device is accepted, placement is Spark' + chr(39) + 's' if device else ''}."
+    return make
+
+
+#: view, view_mut, subview, strided_view, cuda_view, ...: every combination of device, strides, offsets and writing.
+FACTORIES = {
+    name: _factory(name, bool(device), bool(strided), bool(part), bool(mut))
+    for device in ("", "cuda_") for strided in ("", "strided_") for part in ("", "sub") for mut in ("", "_mut")
+    for name in [f"{device}{strided}{part}view{mut}"]
+}
+globals().update(FACTORIES)

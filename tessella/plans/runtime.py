@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +74,36 @@ class Block:
     kept: bool = False
 
 
+class Submission:
+    """What a task needs, put together piece by piece; callbacks get its event before submit() returns."""
+
+    def __init__(self, runtime: Runtime, after: Iterable[EventId] = ()):
+        self.runtime, self.after = runtime, list(after)
+        self.inputs: list[BlockId] = []
+        self.outputs = 0
+        self._callbacks: list[Callable[[EventId], None]] = []
+
+    def add_input(self, block: BlockId) -> int:
+        """The input's number; a block that comes again keeps its own."""
+        if block not in self.inputs:
+            self.inputs.append(block)
+        return self.inputs.index(block)
+
+    def add_output(self) -> int:
+        self.outputs += 1
+        return self.outputs - 1
+
+    def after_submission(self, callback: Callable[[EventId], None]) -> None:
+        self._callbacks.append(callback)
+
+    def submit(self, task: Callable[[dict[BlockId, DataFrame]], Iterable[DataFrame]]) -> EventId:
+        with self.runtime._lock:
+            event = self.runtime.submit_task(task, self.inputs, self.outputs, self.after)
+            for callback in self._callbacks:
+                callback(event)
+        return event
+
+
 class Runtime:
     def __init__(self, spark: SparkSession | None = None, eager: bool = False, level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
         self.spark = spark or SparkSession.builder.getOrCreate()
@@ -90,8 +122,6 @@ class Runtime:
 
     def allocate(self, data: Any, shape: tuple[int, ...] | None = None, dtype: str | None = None) -> Any:
         """An array with a copy of driver data: a sequence or NumPy array of any rank."""
-        import numpy as np
-
         from ..operators.arrays import Array, spark_type
 
         values = np.asarray(data)
@@ -101,9 +131,11 @@ class Runtime:
         if math.prod(shape) != values.size:
             raise ValueError("the shape does not fit the data")
         dtype = dtype or str(values.dtype)
-        flat = values.reshape(-1)
-        rows = list(enumerate(flat.tolist())) if dtype != "uint64" else [(i, __import__("decimal").Decimal(x)) for i, x in enumerate(flat.tolist())]
-        frame = self.spark.createDataFrame(rows, f"i bigint, v {spark_type(dtype)}")
+        flat = pa.array(values.reshape(-1))
+        flat = flat.cast(pa.decimal128(20, 0)) if dtype == "uint64" else flat
+        table = pa.table({"i": pa.array(np.arange(values.size)), "v": flat})
+        schema = f"i bigint, v {spark_type(dtype)}"
+        frame = self.spark.createDataFrame(table).select("i", F.col("v").cast(spark_type(dtype)).alias("v")) if values.size else self.spark.createDataFrame([], schema)
         return Array(self, shape, dtype, self._insert(frame))
 
     def from_frame(self, frame: DataFrame, index: str | Column, value: str | Column, shape: tuple[int, ...], dtype: str | None = None) -> Any:
@@ -156,11 +188,24 @@ class Runtime:
         for a in inputs:
             if a.block_id is None:
                 raise RuntimeError("an array is read that no task has written")
+        held = tuple((a.block_id, a.shape) if isinstance(a, Array) else a for a in args)
+        task = Submission(self, after)
+        for a in inputs:
+            task.add_input(a.block_id)
+        for a in outputs:
+            block = task.add_output()
+            task.after_submission(lambda event, a=a, block=block: a._rebind(BlockId(event, block)))
+        return task.submit(lambda frames: run_kernel(launcher, kernel, args, held, frames))
+
+    def submit_task(self, task: Callable[[dict[BlockId, DataFrame]], Iterable[DataFrame]], inputs: Iterable[BlockId] = (), outputs: int = 0, after: Iterable[EventId] = ()) -> EventId:
+        """The explicit form: task gets the frames of the input blocks and returns one for each output.
+
+        The outputs are the blocks (event, 0), (event, 1), ...; inputs are waited for, and after as well.
+        """
         with self._lock:
             event = self.scheduler.new_event()
-            sources = {a.block_id: self._blocks[a.block_id] for a in inputs}  # an array that comes twice is one input
-            made = [BlockId(event, k) for k in range(len(outputs))]
-            held = tuple((a.block_id, a.shape) if isinstance(a, Array) else a for a in args)
+            sources = {b: self._blocks[b] for b in inputs}  # a block that comes twice is one input
+            made = [BlockId(event, k) for k in range(outputs)]
             before = [*after, *(s.ready for s in sources.values())]
             for s in sources.values():
                 s.users.add(event)
@@ -169,8 +214,7 @@ class Runtime:
 
             def work() -> None:
                 try:
-                    frames = {b: self.frame(b) for b in sources}
-                    done = run_kernel(launcher, kernel, args, held, frames)
+                    done = list(task({b: self.frame(b) for b in sources}))
                     if len(done) != len(made):
                         raise TypeError(f"the kernel gave {len(done)} outputs, {len(made)} were asked for")
                     for b, frame in zip(made, done, strict=True):
@@ -182,10 +226,7 @@ class Runtime:
                     for b in made:
                         self._blocks[b].error = ErrorValue(error)
 
-            self.scheduler.insert(work, before, event)
-            for a, b in zip(outputs, made, strict=True):
-                a._rebind(b)
-        return event
+            return self.scheduler.insert(work, before, event)
 
     def _keep(self, block: BlockId) -> None:
         found = self._blocks[block]
@@ -247,6 +288,16 @@ class Runtime:
         found = self._blocks[block]
         return self.scheduler.insert(None, [found.ready, *found.users])
 
+    def rounds(self, n: int, task: Callable[[int], EventId], in_flight: int = 5) -> list[EventId]:
+        """task(0), task(1), ...: each gives its event; no more than in_flight of them are open at a time."""
+        events: list[EventId] = []
+        for k in range(n):
+            events.append(task(k))
+            if len(events) >= in_flight:
+                self.wait(events[-in_flight])
+        self.synchronize()
+        return events
+
     def synchronize(self) -> None:
         self.wait(self.submit_barrier())
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions.results import Completion, EmptyError, ErrorValue, Result, try_catch
 from tessella.plans.events import BlockId, EventId, Scheduler
-from tessella.plans.runtime import Batches, Cuda, CudaKernel, Frames, Host, Runtime, write
+from tessella.operators.arrays import verify_all
+from tessella.plans.runtime import ARGUMENTS, Batches, Cuda, CudaKernel, Frames, Host, Runtime, Submission, write
 from tessella.sources.tables import read_array, write_array
 
 
@@ -126,3 +127,77 @@ def test_results():
     with pytest.raises(AssertionError):
         c.complete(good)
     assert got == [good]
+
+
+def test_long_chains_of_joins_end():
+    s, gate = Scheduler(), threading.Event()
+    last = s.insert(gate.wait, [])
+    for _ in range(5000):
+        last = s.insert(None, [last])
+    fan = [s.insert(None, [last]) for _ in range(2000)]
+    after = s.insert(lambda: None, fan)
+    assert not s.is_done(last)
+    gate.set()
+    assert s.wait(after, time.monotonic() + 10) and s.active() == []
+    s.shutdown()
+
+
+def test_explicit_tasks_and_callbacks(spark):
+    with Runtime(spark, eager=True) as rt:
+        a = rt.allocate([1.0, 2.0])
+        task, told = Submission(rt), []
+        assert (task.add_input(a.block()), task.add_input(a.block()), task.add_output(), task.add_output()) == (0, 0, 0, 1)
+        task.after_submission(told.append)
+        task.after_submission(lambda e: told.append("second"))
+        event = task.submit(lambda f: [f[a.block()], f[a.block()].select("i", (F.col("v") * 3).alias("v"))])
+        assert told == [event, "second"]
+        rt.wait(event)
+        assert [r["v"] for r in rt.frame(BlockId(event, 1)).orderBy("i").collect()] == [3, 6]
+        wrong = rt.submit_task(lambda f: [], [a.block()], 1)
+        with pytest.raises(TypeError):
+            rt.frame(BlockId(wrong))
+        order = []
+        first = rt.submit_task(lambda f: order.append(1) or [])
+        rt.wait(rt.submit_task(lambda f: order.append(2) or [], after=[first]))
+        assert order == [1, 2]
+
+
+def test_rounds_bound_what_is_open(spark):
+    with Runtime(spark) as rt:
+        open_, most = [0], [0]
+
+        def one(k):
+            open_[0] += 1
+            most[0] = max(most[0], open_[0])
+
+            def work(_):
+                time.sleep(0.01)
+                open_[0] -= 1
+                return []
+
+            return rt.submit_task(work)
+
+        events = rt.rounds(20, one, in_flight=5)
+        assert len(events) == 20 and all(rt.is_done(e) for e in events) and most[0] <= 5
+
+
+def test_arguments_of_other_types_and_deadlines(spark):
+    class Boxed:
+        def __init__(self, array):
+            self.array = array
+
+    ARGUMENTS[Boxed] = lambda b: b.array
+    try:
+        with Runtime(spark) as rt:
+            a, b = rt.allocate([1.0, 2.0]), rt.declare(2)
+            rt.submit(Host(), lambda x: x + 1, Boxed(a), write(b))
+            assert b.read() == [2, 3]
+            slow = rt.submit_task(lambda f: time.sleep(0.3) or [])
+            assert not rt.wait_until(slow, time.monotonic() + 0.01) and rt.wait_until(slow, time.monotonic() + 5)
+    finally:
+        del ARGUMENTS[Boxed]
+
+
+def test_verifying_nothing_succeeds(spark):
+    with Runtime(spark) as rt:
+        assert verify_all(rt.allocate([]), 1.0).first()["ok"] and not verify_all(rt.allocate([1.0, 2.0]), 1.0).first()["ok"]

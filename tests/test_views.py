@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.functions.views import Bounds, FixedArray, LeftToRight, RightToLeft, StaticBounds, Strided, Subbounds, View
+from tessella.functions.views import FACTORIES, Bounds, FixedArray, LeftToRight, RightToLeft, StaticBounds, Strided, Subbounds, View, convert_domain, convert_layout
 
 shapes = st.lists(st.integers(1, 5), min_size=1, max_size=4).map(tuple)
 
@@ -51,3 +51,33 @@ def test_frames_of_views(spark, mapping):
     assert view[1][2][3] == cube[1, 2, 3] == view(1, 2, 3) == view.drop_axis(0, 1).drop_axis(0, 2).drop_axis(0, 3).value()
     with pytest.raises(TypeError):
         view.access(1)
+
+
+def test_factories_and_writing(spark):
+    assert len(FACTORIES) == 16 and {"view", "view_mut", "strided_view", "cuda_strided_subview_mut"} <= set(FACTORIES)
+    data = np.arange(12).reshape(3, 4)
+    frame = spark.createDataFrame(list(enumerate(data.ravel().tolist())), "i bigint, v bigint")
+    for name, make in FACTORIES.items():
+        view = make(frame, (3, 4))
+        assert view.writable == name.endswith("_mut") and (type(view.layout) is Strided) == ("strided" in name or "sub" in name)
+        if not view.writable:
+            with pytest.raises(TypeError):
+                view.put(0)
+    window = FACTORIES["view_mut"](frame, (3, 4)).sub((1, 1), (2, 2))
+    want = data.copy()
+    want[1:3, 1:3] = 7
+    assert [r["v"] for r in window.put(7).orderBy("i").collect()] == want.ravel().tolist()
+    with pytest.raises(TypeError):
+        window.read_only().put(7)
+    moved = FACTORIES["subview"](frame, (3, 4), offsets=(10, 20))
+    assert moved.access(11, 22) == data[1, 2]
+
+
+def test_conversions_keep_what_they_can():
+    static, plain, part = StaticBounds(2, 3), Bounds(2, 3), Subbounds((1, 1), (2, 3))
+    assert convert_domain(static, Bounds) == plain and convert_domain(plain, Subbounds) == Subbounds((0, 0), (2, 3)) and convert_domain(part, Subbounds) is part
+    row = RightToLeft(static)
+    assert convert_layout(row, Strided).strides == (3, 1) and type(convert_layout(row, RightToLeft, Bounds).domain) is Bounds
+    for bad in (lambda: convert_domain(part, Bounds), lambda: convert_layout(row, LeftToRight), lambda: convert_layout(Strided(plain, (3, 1)), RightToLeft)):
+        with pytest.raises(TypeError):
+            bad()

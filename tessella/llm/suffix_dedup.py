@@ -396,4 +396,16 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_suffix_dedup": """
+        WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+        win AS (SELECT doc_id, p, hash(x[p + 1:p + 200]) AS k FROM (SELECT doc_id, x, unnest(range(0, octet_length(x) - 199)) AS p FROM t WHERE octet_length(x) >= 200)),
+        twice AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+        hits AS (SELECT doc_id, p, p > lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) + 200 AS new FROM win SEMI JOIN twice USING (k)),
+        runs AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM (SELECT doc_id, p, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hits) GROUP BY doc_id, run),
+        gaps AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM runs),
+        cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(hex(x[before + 1:a]), '' ORDER BY a) AS head FROM gaps JOIN t USING (doc_id) GROUP BY doc_id)
+        SELECT t.doc_id, octet_length(x)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(head, '') || hex(x[coalesce(last, 0) + 1:]))) AS kept_sha256
+        FROM t LEFT JOIN cut USING (doc_id)"""
+}

@@ -214,7 +214,6 @@ def test_packing(docs, empty, rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got = packing.pack(docs, size=64).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in got:
@@ -256,7 +255,6 @@ def test_tokens_are_those_of_tokenizers(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     every = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [t or "" for t in texts()] + ["<|endoftext|> it's  \n\n x\t ", "  ", " a　 b", "don't I'LL 12ab"]
     encode = packing.encoder(open(path, encoding="utf-8").read())
     assert encode(every) == [e.ids for e in tokenizer.encode_batch(every, add_special_tokens=False)]

@@ -555,7 +555,8 @@ def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col
 
 
 def op4_lm_score(spark, sf_dir: str) -> DataFrame:
-    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Every pair is stored, those seen once too."""
+    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_pair=1)
 
 
 QUERIES = {"op4_lm_score": op4_lm_score}

@@ -8,11 +8,13 @@
 4. Candidates are verified in sequence: batches of the two signatures are compared, and after each the posterior of
    the similarity (uniform prior) is asked; a pair goes once the threshold is less likely than `miss`. The survivors
    are verified exactly on full shingle sets; those that pass are links.
-5. Connected components of the links. A bucket whose members, its star's center aside, are of several components has
-   its cross pairs compared too, in blocks of at most BLOCK members, or about BLOCK_BYTES, that carry their shingle
-   sets: the same sequence of batches, then exact verification on the spot, and only links that join components found so far are emitted. A
-   pair is looked at in the first band that it shares. So every pair that shares a band is within one component or
-   was compared, though a hot bucket never emits its pairs.
+5. Connected components of the links. The members of a bucket that still hold several components, the star's center
+   aside, are candidates too, but are not paired by bucket: they are joined by prefixes. Each orders its shingles by
+   rarity and shows the first of them, of which two sets at the threshold must share one; pairs of different
+   components meet at a shared shingle, where sizes and positions bound what they can have in common. Those left go
+   through the same batches and the same exact verification. So every pair that shares a band is within one component
+   or was looked at, and texts that share only what is common to many do not meet. A shingle shown by more than BLOCK
+   texts is dealt in pairs of blocks, of rows without signatures or sets.
 
 Components are found by hooking and shortcutting with min labels over tables in the shared folder.
 
@@ -28,7 +30,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,8 @@ from .common import NOT_SPACE, broadcast_if_small, gram_hashes, mix, pick, text_
 
 SHINGLE, BANDS, ROWS, BATCH = 5, 24, 4, 16
 MISS = 1e-7
-BLOCK, BLOCK_BYTES = 2048, 32 << 20
+#: Texts of a block that meet at one shingle; bits of the table of how frequent shingles are, which orders them.
+BLOCK, CELL_BITS = 2048, 18
 BROADCAST_ROWS = 1_000_000
 _HASHES = BANDS * ROWS
 _rng = np.random.default_rng(7)
@@ -162,34 +164,71 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def _cross(group: pd.DataFrame, threshold: float, percent: int) -> pd.DataFrame:
-    """Links between different components, between two blocks of a bucket (or within one); none that others imply."""
-    sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), _HASHES)
-    sets = [np.frombuffer(g, np.uint64) for g in group["grams"]]
-    sizes = np.array([len(s) for s in sets])
-    ids, side, band = group["doc_id"].to_numpy(), group["side"].to_numpy(), int(group["band"].iloc[0])
-    _, comp = np.unique(group["component"].to_numpy(), return_inverse=True)
-    left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-    out = []
-    for i in left:
-        other = right[(comp[right] != comp[i]) & ((side[right] == 2) | (right > i))]
-        other = other[100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i])]
-        if not len(other):
-            continue
-        other = other[survive(np.broadcast_to(sig[i], (len(other), _HASHES)), sig[other], threshold)]
-        if band and len(other):  # pairs that share an earlier band are looked at there
-            early = (sig[other, : band * ROWS] == sig[i, : band * ROWS]).reshape(len(other), band, ROWS).all(axis=2).any(axis=1)
-            other = other[~early]
-        if not len(other):
+def _cell(grams: np.ndarray) -> np.ndarray:
+    return (mix(grams) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles fall into each cell."""
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    for batch in batches:
+        grams = np.frombuffer(b"".join(batch.column("grams").to_pylist()), np.uint64)
+        counts += np.bincount(_cell(grams), minlength=len(counts))
+    full = np.flatnonzero(counts)
+    for at in range(0, len(full), 1 << 14):
+        some = full[at : at + (1 << 14)]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["cell", "n"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], rarity, percent: int) -> Iterator[pa.RecordBatch]:
+    """The rarest shingles of each set, one more than may be missing from a similar set, with their positions."""
+    for batch in batches:
+        blobs = batch.column("grams").to_pylist()
+        grams = np.frombuffer(b"".join(blobs), np.uint64)
+        sizes = np.array([len(g) // 8 for g in blobs], np.int64)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        grams = grams[np.lexsort((grams, rarity.value[_cell(grams)], doc))]
+        at = np.arange(len(grams)) - (np.cumsum(sizes) - sizes)[doc]
+        shown = at <= (sizes + (-percent * sizes) // 100)[doc]
+        doc = doc[shown]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(grams[shown].view(np.int64)), batch.column("doc_id").take(pa.array(doc)), batch.column("component").take(pa.array(doc)), pa.array(sizes[doc]), pa.array(at[shown])],
+            ["token", "doc_id", "component", "size", "at"],
+        )
+
+
+def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by token and blocks: pairs of two components that may be similar if this is their first shared shingle."""
+
+    def pairs(rows: pa.RecordBatch):
+        col = {n: rows.column(n).to_numpy(zero_copy_only=False) for n in rows.schema.names}
+        ids, comp, size, at, side = (col[n] for n in ("doc_id", "component", "size", "at", "side"))
+        new = np.append(True, np.any([col[n][1:] != col[n][:-1] for n in ("token", "x", "y")], axis=0))
+        run = np.cumsum(new)
+        i, step = np.arange(len(run)), 0
+        while len(i):  # each row and the one `step` after it, while both are of one run
+            step += 1
+            i = i[i + step < len(run)]
+            i = i[run[i] == run[i + step]]
+            j = i + step
+            fit = (comp[i] != comp[j]) & ((side[i] == 0) | (side[i] != side[j]))
+            fit &= (100 + percent) * np.minimum(size[i] - at[i], size[j] - at[j]) >= percent * (size[i] + size[j])
+            fit &= 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+            if fit.any():
+                a, b = ids[i[fit]], ids[j[fit]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        every = np.concatenate([sets[j] for j in other])
-        at = np.minimum(np.searchsorted(sets[i], every), sizes[i] - 1)
-        both = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.append(0, np.cumsum(sizes[other])[:-1]))
-        for j in other[100 * both >= percent * (sizes[other] + sizes[i] - both)]:
-            if comp[i] != comp[j]:
-                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-                comp[comp == comp[j]] = comp[i]
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        batch = pa.concat_batches([held, batch]) if held is not None else batch
+        differ = np.any([batch.column(n).to_numpy() != batch.column(n)[-1].as_py() for n in ("token", "x", "y")], axis=0)
+        last = int(differ.nonzero()[0][-1]) + 1 if differ.any() else 0  # where the last run begins; it may go on
+        yield from pairs(batch.slice(0, last))
+        held = batch.slice(last)
+    if held is not None:
+        yield from pairs(held)
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -230,32 +269,47 @@ def near_dedup(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, id_co
     pairs = banded.join(stars, ["band", "bucket"]).where("doc_id <> center").select(F.least("doc_id", "center").alias("a"), F.greatest("doc_id", "center").alias("b")).distinct()
 
     left, right = reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
-    pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lambda it: _prune(it, threshold), "a long, b long")
-    pairs = written(pairs, "near-pairs")
+
+    def pruned(pairs: DataFrame, name: str) -> DataFrame:
+        signed_pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b")
+        return written(signed_pairs.mapInArrow(lambda it: _prune(it, threshold), "a long, b long"), name)
+
+    def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        one, two = (sets.select(F.col("doc_id").alias(x), F.col("grams").alias(f"grams_{x}")) for x in ("a", "b"))
+        joined = pairs.join(one, "a").join(two, "b").select("a", "b", "grams_a", "grams_b")
+        return written(joined.mapInArrow(lambda it: _verify(it, percent), "a long, b long"), name)
 
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
         ids = written(ids.distinct(), f"{name}-wanted")
         sets = texts.join(broadcast_if_small(ids, BROADCAST_ROWS), "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, shingle), "doc_id long, grams binary")
         return written(sets, f"{name}-sets")
 
+    pairs = pruned(pairs, "near-pairs")
     sets = sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), "near-star")
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
-    links = written(joined.select("a", "b", "grams_a", "grams_b").mapInArrow(lambda it: _verify(it, percent), "a long, b long"), "near-links")
+    links = verified(pairs, sets, "near-links")
     labels = components(links, "near-first")
     # Buckets that still hold several components; the pairs of their centers have been looked at.
     placed = banded.join(stars.where("n > 2"), ["band", "bucket"]).where("doc_id <> center").join(labels, "doc_id", "left")
     placed = written(placed.select("band", "bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("component")), "near-placed")
     mixed = placed.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "bucket")
-    mixed = written(placed.join(mixed, ["band", "bucket"]), "near-mixed")
+    mixed = written(placed.join(mixed, ["band", "bucket"]).select("doc_id", "component").distinct(), "near-mixed")
     sets = sets_of(mixed.select("doc_id"), "near-mixed")
-    weights = mixed.join(sets.select("doc_id", (F.octet_length("grams") + 4 * _HASHES).alias("bytes")), "doc_id").groupBy("band", "bucket").agg(F.sum("bytes").alias("bytes"))
-    blocks = mixed.join(weights, ["band", "bucket"]).withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int"))
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.join(reps.join(sets, "doc_id"), "doc_id").select(
-        "band", "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "component", "sig", "grams",
+    cells = sets.mapInArrow(_rarity, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 2^CELL_BITS rows at most
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    rarity = docs.sparkSession.sparkContext.broadcast(counts)
+    shown = mixed.join(sets, "doc_id").mapInArrow(lambda it: _prefixes(it, rarity, percent), "token long, doc_id long, component long, size long, at long")
+    shown = written(shown, "near-prefixes")
+    shared = shown.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    shared = written(shared.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-shared")
+    blocks = shown.join(broadcast_if_small(shared, BROADCAST_ROWS), "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "component", "size", "at",
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    more = written(blocks.groupBy("band", "bucket", "x", "y").applyInPandas(lambda g: _cross(g, threshold, percent), "a long, b long"), "near-more")
+    blocks = blocks.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+    more = pruned(blocks.mapInArrow(lambda it: _meet(it, percent), "a long, b long").distinct(), "near-more")
+    more = verified(more, sets, "near-more-links")
     labels = components(links.union(more), "near-all")
     classes = written(classes.join(labels, classes.rep == labels.doc_id, "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component")), "near-labelled")
     alone = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))

@@ -8,11 +8,15 @@
 4. Candidates are verified in sequence: batches of the two signatures are compared, and after each the posterior of
    the similarity (uniform prior) is asked; a pair goes once the threshold is less likely than `miss`. The survivors
    are verified exactly on full shingle sets; those that pass are links.
-5. Connected components of the links. A bucket whose members, its star's center aside, are of several components has
-   its cross pairs compared too, in blocks of at most BLOCK members, or about BLOCK_BYTES, that carry their shingle
-   sets: the same sequence of batches, then exact verification on the spot, and only links that join components found so far are emitted. A
-   pair is looked at in the first band that it shares. So every pair that shares a band is within one component or
-   was compared, though a hot bucket never emits its pairs.
+5. Connected components of the links. Members of a bucket that still hold several components, the star's center
+   aside, are candidates too, but are not paired by bucket: they meet by prefixes. Each orders its shingles by rarity
+   and shows the first of them, of which two sets at the threshold must share one; members of different components
+   meet at a shared shingle with their signatures and sets. There sizes and positions bound what a pair can have in
+   common; those left go through the same batches and the same exact verification on the spot, and only links that
+   join components found so far are emitted. So every pair that shares a band is within one component or was looked
+   at, texts that share only what is common to many do not meet, and a hot group never emits its pairs. A shingle
+   shown by more than BLOCK texts, or about BLOCK_BYTES, is dealt in pairs of blocks; the largest component there has
+   blocks of its own, which never meet each other, so one large group costs a copy of its rows for each block of the rest.
 
 Components are found by hooking and shortcutting with min labels over tables in the shared folder.
 
@@ -28,7 +32,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +40,8 @@ from .common import NOT_SPACE, broadcast_if_small, gram_hashes, mix, pick, text_
 
 SHINGLE, BANDS, ROWS, BATCH = 5, 24, 4, 16
 MISS = 1e-7
-BLOCK, BLOCK_BYTES = 2048, 32 << 20
+#: What meets at one shingle in one block; bits of the table of how frequent shingles are, which orders them.
+BLOCK, BLOCK_BYTES, CELL_BITS = 512, 16 << 20, 18
 BROADCAST_ROWS = 1_000_000
 _HASHES = BANDS * ROWS
 _rng = np.random.default_rng(7)
@@ -149,47 +153,104 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(starts)), pa.array(blobs, pa.binary())], ["doc_id", "grams"])
 
 
+def _similar(x: bytes, y: bytes, percent: int) -> bool:
+    """Of two sets of sorted shingles, by counting what they share."""
+    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist(), strict=True)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                keep.append(i)
+        both = zip(batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist(), strict=True)
+        keep = [i for i, (x, y) in enumerate(both) if _similar(x, y, percent)]
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def _cross(group: pd.DataFrame, threshold: float, percent: int) -> pd.DataFrame:
-    """Links between different components, between two blocks of a bucket (or within one); none that others imply."""
-    sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), _HASHES)
-    sets = [np.frombuffer(g, np.uint64) for g in group["grams"]]
-    sizes = np.array([len(s) for s in sets])
-    ids, side, band = group["doc_id"].to_numpy(), group["side"].to_numpy(), int(group["band"].iloc[0])
-    _, comp = np.unique(group["component"].to_numpy(), return_inverse=True)
-    left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-    out = []
-    for i in left:
-        other = right[(comp[right] != comp[i]) & ((side[right] == 2) | (right > i))]
-        other = other[100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i])]
-        if not len(other):
-            continue
-        other = other[survive(np.broadcast_to(sig[i], (len(other), _HASHES)), sig[other], threshold)]
-        if band and len(other):  # pairs that share an earlier band are looked at there
-            early = (sig[other, : band * ROWS] == sig[i, : band * ROWS]).reshape(len(other), band, ROWS).all(axis=2).any(axis=1)
-            other = other[~early]
-        if not len(other):
+def _cell(grams: np.ndarray) -> np.ndarray:
+    return (mix(grams) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles fall into each cell."""
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    for batch in batches:
+        counts += np.bincount(_cell(np.frombuffer(b"".join(batch.column("grams").to_pylist()), np.uint64)), minlength=len(counts))
+    full = np.flatnonzero(counts)
+    for at in range(0, len(full), 1 << 14):
+        some = full[at : at + (1 << 14)]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["cell", "n"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], rarity, percent: int) -> Iterator[pa.RecordBatch]:
+    """The rarest shingles of each set, one more than may be missing from a similar set, with their positions."""
+    for batch in batches:
+        blobs = batch.column("grams").to_pylist()
+        grams = np.frombuffer(b"".join(blobs), np.uint64)
+        sizes = np.array([len(g) // 8 for g in blobs], np.int64)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        grams = grams[np.lexsort((grams, rarity.value[_cell(grams)], doc))]
+        at = np.arange(len(grams)) - (np.cumsum(sizes) - sizes)[doc]
+        shown = at <= (sizes + (-percent * sizes) // 100)[doc]
+        doc = doc[shown]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(grams[shown].view(np.int64)), batch.column("member").take(pa.array(doc)), batch.column("component").take(pa.array(doc)), pa.array(sizes[doc]), pa.array(at[shown])],
+            ["token", "member", "component", "size", "at"],
+        )
+
+
+def _meet(batches: Iterator[pa.RecordBatch], threshold: float, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between different components, of rows sorted by token and blocks; none that others of the task imply."""
+    joined: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := joined.get(c, c)) != c:
+            joined[c] = c = joined.get(up, up)
+        return c
+
+    def links(rows: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+        ids, comp, size, at, side = (rows.column(n).to_numpy() for n in ("doc_id", "component", "size", "at", "side"))
+        sig, sets = _matrix(rows.column("sig")), rows.column("grams")
+        run = np.cumsum(_changes(rows))
+        i, step = np.arange(len(run)), 0
+        while len(i):  # each row and the one `step` after it, while both are of one run
+            step += 1
+            i = i[i + step < len(run)]
+            i = i[run[i] == run[i + step]]
+            j = i + step
+            fit = (comp[i] != comp[j]) & ((side[i] == 0) | (side[i] != side[j]))
+            fit &= (100 + percent) * np.minimum(size[i] - at[i], size[j] - at[j]) >= percent * (size[i] + size[j])
+            fit &= 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+            left, right = i[fit], j[fit]
+            live = survive(sig[left], sig[right], threshold)
+            for x, y in zip(left[live].tolist(), right[live].tolist(), strict=True):
+                one, two = root(int(comp[x])), root(int(comp[y]))
+                if one != two and _similar(sets[x].as_py(), sets[y].as_py(), percent):
+                    joined[max(one, two)] = min(one, two)
+                    yield int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))
+
+    def told(rows: pa.RecordBatch) -> pa.RecordBatch:
+        found = np.array(list(links(rows)) if rows.num_rows > 1 else [], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        every = np.concatenate([sets[j] for j in other])
-        at = np.minimum(np.searchsorted(sets[i], every), sizes[i] - 1)
-        both = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.append(0, np.cumsum(sizes[other])[:-1]))
-        for j in other[100 * both >= percent * (sizes[other] + sizes[i] - both)]:
-            if comp[i] != comp[j]:
-                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-                comp[comp == comp[j]] = comp[i]
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        batch = pa.concat_batches([held, batch]) if held is not None else batch
+        last = int(np.flatnonzero(_changes(batch))[-1])  # where the last run begins; it may go on
+        yield told(batch.slice(0, last))
+        held = batch.slice(last)
+    if held is not None:
+        yield told(held)
+
+
+def _changes(rows: pa.RecordBatch) -> np.ndarray:
+    """Whether each row begins a run of equal token and blocks."""
+    keys = [rows.column(n).to_numpy() for n in ("token", "x", "y")]
+    return np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -246,16 +307,35 @@ def near_dedup(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, id_co
     placed = banded.join(stars.where("n > 2"), ["band", "bucket"]).where("doc_id <> center").join(labels, "doc_id", "left")
     placed = written(placed.select("band", "bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("component")), "near-placed")
     mixed = placed.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "bucket")
-    mixed = written(placed.join(mixed, ["band", "bucket"]), "near-mixed")
-    sets = sets_of(mixed.select("doc_id"), "near-mixed")
-    weights = mixed.join(sets.select("doc_id", (F.octet_length("grams") + 4 * _HASHES).alias("bytes")), "doc_id").groupBy("band", "bucket").agg(F.sum("bytes").alias("bytes"))
-    blocks = mixed.join(weights, ["band", "bucket"]).withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int"))
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.join(reps.join(sets, "doc_id"), "doc_id").select(
-        "band", "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "component", "sig", "grams",
+    mixed = written(placed.join(mixed, ["band", "bucket"]).select("doc_id", "component").distinct(), "near-mixed")
+    sets = written(sets_of(mixed.select("doc_id"), "near-mixed").withColumn("member", F.monotonically_increasing_id()).join(mixed, "doc_id"), "near-mixed-sets")
+    cells = sets.select("grams").mapInArrow(_rarity, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 2^CELL_BITS rows at most
+    counts = np.zeros(1 << CELL_BITS, np.int64)
+    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    rarity = docs.sparkSession.sparkContext.broadcast(counts)
+    shown = sets.select("member", "component", "grams").mapInArrow(lambda it: _prefixes(it, rarity, percent), "token long, member long, component long, size long, at long")
+    shown = written(shown, "near-prefixes")
+    parts = shown.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("size") + 4 * _HASHES).alias("bytes"))
+    largest = F.max_by(F.struct("component", "n", "bytes"), F.struct("n", "component"))
+    shared = parts.groupBy("token").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), largest.alias("most")).where("kinds > 1")
+    one = (F.col("n") <= BLOCK) & (F.col("bytes") <= BLOCK_BYTES)
+
+    def blocks_of(n, nbytes):
+        return F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(nbytes / BLOCK_BYTES)).cast("int")
+
+    rest = F.when(one, 1).otherwise(blocks_of(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")))
+    own = F.when(one, 0).otherwise(blocks_of(F.col("most.n"), F.col("most.bytes")))
+    shared = written(shared.select("token", rest.alias("rest"), own.alias("own"), F.col("most.component").alias("most")), "near-shared")
+    within = (F.col("own") > 0) & (F.col("component") == F.col("most"))
+    blocks = shown.join(broadcast_if_small(shared, BROADCAST_ROWS), "token").join(sets.select("member", "doc_id", "grams").join(reps, "doc_id"), "member")
+    blocks = blocks.withColumn("block", F.when(within, F.col("rest") + F.pmod(F.xxhash64("member"), F.greatest("own", F.lit(1)))).otherwise(F.pmod(F.xxhash64("member"), F.col("rest"))).cast("int"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(within, 0).otherwise(F.col("own")))))
+    blocks = blocks.select(
+        "token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "component", "size", "at", "sig", "grams",
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    more = written(blocks.groupBy("band", "bucket", "x", "y").applyInPandas(lambda g: _cross(g, threshold, percent), "a long, b long"), "near-more")
+    blocks = blocks.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+    more = written(blocks.mapInArrow(lambda it: _meet(it, threshold, percent), "a long, b long"), "near-more")
     labels = components(links.union(more), "near-all")
     classes = written(classes.join(labels, classes.rep == labels.doc_id, "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component")), "near-labelled")
     alone = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))

@@ -11,9 +11,9 @@
 5. Connected components of the links. Members of a bucket that still hold several components, the star's center
    aside, are candidates too, but are not paired by bucket: they meet by prefixes. Each orders its shingles by rarity
    and shows the first of them, of which two sets at the threshold must share one; members of different components
-   meet at a shared shingle with their signatures and sets. There sizes and positions bound what a pair can have in
-   common; those left go through the same batches and the same exact verification on the spot, and only links that
-   join components found so far are emitted. So every pair that shares a band is within one component or was looked
+   meet at a shared shingle. There sizes and positions bound what a pair can have in common, and those left go through
+   the same batches, first with signatures alone; then, for members of a pair that is left, with their sets, which are
+   verified on the spot, and only links that join components found so far are emitted. So every pair that shares a band is within one component or was looked
    at, texts that share only what is common to many do not meet, and a hot group never emits its pairs. A shingle
    shown by more than BLOCK texts, or about BLOCK_BYTES, is dealt in pairs of blocks; the largest component there has
    blocks of its own, which never meet each other, so one large group costs a copy of its rows for each block of the rest.
@@ -169,6 +169,10 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
+#: What a row says of a set where it meets others: the shingle, the pair of blocks and the set's place in them.
+_PLACE = ["token", "x", "y", "member", "component", "size", "at", "side"]
+
+
 def _cell(grams: np.ndarray) -> np.ndarray:
     return (mix(grams) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
@@ -201,8 +205,50 @@ def _prefixes(batches: Iterator[pa.RecordBatch], rarity, percent: int) -> Iterat
         )
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, sorted by token and blocks, in batches that end with a run of equal ones."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        batch = pa.concat_batches([held, batch]) if held is not None else batch
+        last = int(np.flatnonzero(_changes(batch))[-1])  # where the last run begins; it may go on
+        if last:
+            yield batch.slice(0, last)
+        held = batch.slice(last)
+    if held is not None:
+        yield held
+
+
+def _candidates(rows: pa.RecordBatch, threshold: float, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of pairs of a run and of different components that neither sizes, positions nor signatures rule out."""
+    comp, size, at, side = (rows.column(n).to_numpy() for n in ("component", "size", "at", "side"))
+    sig, run = _matrix(rows.column("sig")), np.cumsum(_changes(rows))
+    i, step = np.arange(len(run)), 0
+    while len(i):  # each row and the one `step` after it, while both are of one run
+        step += 1
+        i = i[i + step < len(run)]
+        i = i[run[i] == run[i + step]]
+        j = i + step
+        fit = (comp[i] != comp[j]) & ((side[i] == 0) | (side[i] != side[j]))
+        fit &= (100 + percent) * np.minimum(size[i] - at[i], size[j] - at[j]) >= percent * (size[i] + size[j])
+        fit &= 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+        left, right = i[fit], j[fit]
+        live = survive(sig[left], sig[right], threshold)
+        yield left[live], right[live]
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch], threshold: float, percent: int) -> Iterator[pa.RecordBatch]:
+    """The rows that are of any candidate, without their signatures."""
+    for rows in _runs(batches):
+        hope = np.zeros(rows.num_rows, bool)
+        for left, right in _candidates(rows, threshold, percent):
+            hope[left] = hope[right] = True
+        yield rows.select(_PLACE).filter(pa.array(hope))
+
+
 def _meet(batches: Iterator[pa.RecordBatch], threshold: float, percent: int) -> Iterator[pa.RecordBatch]:
-    """Links between different components, of rows sorted by token and blocks; none that others of the task imply."""
+    """Links between different components, verified on full sets; none that others of the task imply."""
     joined: dict[int, int] = {}
 
     def root(c: int) -> int:
@@ -210,41 +256,16 @@ def _meet(batches: Iterator[pa.RecordBatch], threshold: float, percent: int) ->
             joined[c] = c = joined.get(up, up)
         return c
 
-    def links(rows: pa.RecordBatch) -> Iterator[tuple[int, int]]:
-        ids, comp, size, at, side = (rows.column(n).to_numpy() for n in ("doc_id", "component", "size", "at", "side"))
-        sig, sets = _matrix(rows.column("sig")), rows.column("grams")
-        run = np.cumsum(_changes(rows))
-        i, step = np.arange(len(run)), 0
-        while len(i):  # each row and the one `step` after it, while both are of one run
-            step += 1
-            i = i[i + step < len(run)]
-            i = i[run[i] == run[i + step]]
-            j = i + step
-            fit = (comp[i] != comp[j]) & ((side[i] == 0) | (side[i] != side[j]))
-            fit &= (100 + percent) * np.minimum(size[i] - at[i], size[j] - at[j]) >= percent * (size[i] + size[j])
-            fit &= 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
-            left, right = i[fit], j[fit]
-            live = survive(sig[left], sig[right], threshold)
-            for x, y in zip(left[live].tolist(), right[live].tolist(), strict=True):
+    for rows in _runs(batches):
+        ids, comp, sets, out = rows.column("doc_id").to_numpy(), rows.column("component").to_numpy(), rows.column("grams"), []
+        for left, right in _candidates(rows, threshold, percent):
+            for x, y in zip(left.tolist(), right.tolist(), strict=True):
                 one, two = root(int(comp[x])), root(int(comp[y]))
                 if one != two and _similar(sets[x].as_py(), sets[y].as_py(), percent):
                     joined[max(one, two)] = min(one, two)
-                    yield int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))
-
-    def told(rows: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array(list(links(rows)) if rows.num_rows > 1 else [], np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        batch = pa.concat_batches([held, batch]) if held is not None else batch
-        last = int(np.flatnonzero(_changes(batch))[-1])  # where the last run begins; it may go on
-        yield told(batch.slice(0, last))
-        held = batch.slice(last)
-    if held is not None:
-        yield told(held)
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        found = np.array(out, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
 
 def _changes(rows: pa.RecordBatch) -> np.ndarray:
@@ -327,15 +348,21 @@ def near_dedup(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, id_co
     own = F.when(one, 0).otherwise(blocks_of(F.col("most.n"), F.col("most.bytes")))
     shared = written(shared.select("token", rest.alias("rest"), own.alias("own"), F.col("most.component").alias("most")), "near-shared")
     within = (F.col("own") > 0) & (F.col("component") == F.col("most"))
-    blocks = shown.join(broadcast_if_small(shared, BROADCAST_ROWS), "token").join(sets.select("member", "doc_id", "grams").join(reps, "doc_id"), "member")
+    blocks = shown.join(broadcast_if_small(shared, BROADCAST_ROWS), "token")
     blocks = blocks.withColumn("block", F.when(within, F.col("rest") + F.pmod(F.xxhash64("member"), F.greatest("own", F.lit(1)))).otherwise(F.pmod(F.xxhash64("member"), F.col("rest"))).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(within, 0).otherwise(F.col("own")))))
-    blocks = blocks.select(
-        "token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "component", "size", "at", "sig", "grams",
-        F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
-    )
-    blocks = blocks.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
-    more = written(blocks.mapInArrow(lambda it: _meet(it, threshold, percent), "a long, b long"), "near-more")
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    blocks = blocks.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other"), "side": side}).select(_PLACE)
+
+    def met(rows: DataFrame, what: DataFrame) -> DataFrame:
+        return rows.join(what, "member").repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+
+    # Signatures meet first; sets are sent for those rows alone that are of a candidate there.
+    members = sets.select("member", "doc_id", "grams").join(reps, "doc_id")
+    place = "token long, x int, y int, member long, component long, size long, at long, side int"
+    hopeful = met(blocks, members.select("member", "sig")).mapInArrow(lambda it: _hopeful(it, threshold, percent), place)
+    hopeful = written(hopeful, "near-hopeful")
+    more = written(met(hopeful, members).mapInArrow(lambda it: _meet(it, threshold, percent), "a long, b long"), "near-more")
     labels = components(links.union(more), "near-all")
     classes = written(classes.join(labels, classes.rep == labels.doc_id, "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component")), "near-labelled")
     alone = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
